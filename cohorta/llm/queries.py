@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from cohorta.llm.decontaminate import op1_decontaminate
 from cohorta.llm.language import op10_language_id
+from cohorta.llm.near_dedup import op4_near_dedup
+from cohorta.llm.packing import op5_packing
+from cohorta.llm.secrets import op6_secrets
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op4_near_dedup": op4_near_dedup,
+    "op5_packing": op5_packing,
+    "op6_secrets": op6_secrets,
     "op10_language_id": op10_language_id,
 }
 
