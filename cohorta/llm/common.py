@@ -158,3 +158,43 @@ def quiet_threads() -> None:
     """One task has one core: native libraries start no threads of their own."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     os.environ.setdefault("OMP_NUM_THREADS", "1")
+
+
+class IdFilter:
+    """A bit set of fixed size that has every given id's hash; a few others may be in it too.
+
+    Sent to the executors, it spares rows that a join would drop their shuffle. Its size does
+    not grow with the ids: beyond its capacity it only spares less.
+    """
+
+    BITS = 1 << 25
+
+    def __init__(self, ids: DataFrame):
+        def fill(batches):
+            bits = np.zeros(IdFilter.BITS // 8, np.uint8)
+            for batch in batches:
+                h = np.asarray(batch.column(0)).astype(np.int64) & (IdFilter.BITS - 1)
+                np.bitwise_or.at(bits, h >> 3, (1 << (h & 7)).astype(np.uint8))
+            words = bits.view(np.int64)
+            at = np.flatnonzero(words)
+            yield pa.RecordBatch.from_pydict({"at": at.astype(np.int32), "word": words[at]})
+
+        words = ids.select(F.xxhash64(F.col(ids.columns[0]).cast("long")).alias("h")).mapInArrow(fill, "at int, word long")
+        table = np.zeros(IdFilter.BITS // 64, np.int64)
+        for r in words.groupBy("at").agg(F.bit_or("word").alias("word")).toLocalIterator():
+            table[r["at"]] = r["word"]
+        self.sent = ids.sparkSession.sparkContext.broadcast(table.view(np.uint8))
+
+    def semi_join(self, rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+        """The rows whose ``key`` is in ``ids`` (a column of that name); key must be a long."""
+        sent, name = self.sent, free_name(rows, "h")
+
+        def keep(batches):
+            for batch in batches:
+                h = np.asarray(batch.column(batch.num_columns - 1)).astype(np.int64) & (IdFilter.BITS - 1)
+                maybe = np.flatnonzero(sent.value[h >> 3] >> (h & 7).astype(np.uint8) & 1)
+                if len(maybe):
+                    yield batch.select(list(range(batch.num_columns - 1))).take(pa.array(maybe))
+
+        hashed = rows.where(F.col(key).isNotNull()).withColumn(name, F.xxhash64(key))
+        return hashed.mapInArrow(keep, rows.schema).join(ids, key, "left_semi")

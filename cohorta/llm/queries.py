@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+from cohorta.llm import topk
 from cohorta.llm.decontaminate import op1_decontaminate
 from cohorta.llm.language import op10_language_id
 from cohorta.llm.near_dedup import op4_near_dedup
 from cohorta.llm.packing import op5_packing
 from cohorta.llm.secrets import op6_secrets
+from cohorta.llm.shards import op9_training_order
+from cohorta.llm.toxicity import op2_toxicity
+from cohorta.llm.url_filter import op7_url_filter
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_toxicity": op2_toxicity,
     "op4_near_dedup": op4_near_dedup,
     "op5_packing": op5_packing,
     "op6_secrets": op6_secrets,
+    "op7_url_filter": op7_url_filter,
+    "op8_top_k": topk.op8_top_k,
+    "op9_training_order": op9_training_order,
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_top_k": topk.ORACLE_SQL}
