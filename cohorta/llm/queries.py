@@ -9,12 +9,14 @@ from cohorta.llm.near_dedup import op4_near_dedup
 from cohorta.llm.packing import op5_packing
 from cohorta.llm.secrets import op6_secrets
 from cohorta.llm.shards import op9_training_order
+from cohorta.llm.substring_dedup import op3_substring_dedup
 from cohorta.llm.toxicity import op2_toxicity
 from cohorta.llm.url_filter import op7_url_filter
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_toxicity": op2_toxicity,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_near_dedup": op4_near_dedup,
     "op5_packing": op5_packing,
     "op6_secrets": op6_secrets,
