@@ -1,20 +1,38 @@
-"""From raw documents to packed training sequences, in stages that each rereads the last one's rows."""
+"""From raw documents to packed training sequences, in stages that each reread the last one's rows.
+
+Every stage but the last returns the columns of ``documents``; rows that a stage keeps are
+whole rows, except that masked secrets change ``text`` and, with it, ``n_chars``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohorta.llm.common import staged
 from cohorta.llm.decontaminate import decontaminate, remove_documents
-from cohorta.llm.language import UNKNOWN, identify_language, learn_languages
+from cohorta.llm.language import UNKNOWN, held_out, identify_language, learn_languages
+from cohorta.llm.near_dedup import near_duplicates
+from cohorta.llm.packing import pack
+from cohorta.llm.secrets import mask_secrets, scan_secrets, train
 
+#: No SQL: the stages learn models and compare signatures. Tests hold each against a brute-force version.
 ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an identifiable language go; prototypes are learnt from this stage's own rows."""
-    judged = identify_language(docs, learn_languages(docs.select("text", "lang")))
-    return judged.where(judged.lang_pred != UNKNOWN).select(*docs.columns)
+    """Documents without an identifiable language go: null texts and texts without a letter.
+
+    Prototypes are learnt from this stage's own rows, those held out for op10 left aside.
+    """
+    judged = identify_language(docs, learn_languages(docs.where(~held_out(F.col("doc_id"))).select("text", "lang")))
+    return judged.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of smallest id stays."""
+    gone = staged(near_duplicates(docs).where("not kept").select("doc_id"), "dropped").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +41,18 @@ def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return remove_documents(decontaminate(docs, items)).select(*docs.columns)
 
 
-STAGES = [("language", language), ("benchmarks", benchmarks)]
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; secrets in their texts are masked."""
+    masked = mask_secrets(scan_secrets(docs, train(docs)))
+    return masked.withColumn("n_chars", F.when(F.size("secrets") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all packed sequences, with their token ids."""
+    return pack(docs)
+
+
+STAGES = [("language", language), ("near_dedup", near_dedup), ("benchmarks", benchmarks), ("secrets", secrets), ("packing", packing)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
