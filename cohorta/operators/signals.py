@@ -1,0 +1,190 @@
+"""Computations that are sequential inside one short key group: grouped maps over Arrow batches.
+
+Each function takes one group as a pandas frame; ``by_group`` deals groups out. A group is one
+window or one participant-task, never a table.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+
+def by_group(df: DataFrame, keys: list[str], order: str, work: Callable[[pd.DataFrame], dict], schema: str) -> DataFrame:
+    """One row a group: its keys and what ``work`` makes of its rows, sorted by ``order``."""
+    types = dict(df.dtypes)
+
+    def run(key, rows):
+        return pd.DataFrame([dict(zip(keys, key)) | work(rows.sort_values(order, kind="stable"))])
+
+    return df.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {types[k]}" for k in keys) + f", {schema}")
+
+
+def filled(x: np.ndarray) -> np.ndarray:
+    """Gaps filled linearly, the ends with the nearest value; all missing gives zeros."""
+    ok = np.isfinite(x)
+    if not ok.any():
+        return np.zeros(len(x))
+    at = np.arange(len(x))
+    return np.interp(at, at[ok], x[ok])
+
+
+def low_pass(x: np.ndarray, rate: float, cutoff: float) -> np.ndarray:
+    """Second-order low-pass, run forward and then backward, so without delay; ends padded by reflection."""
+    k = np.tan(np.pi * min(cutoff / rate, 0.49))
+    norm = 1 / (1 + np.sqrt(2) * k + k * k)
+    b0, a1, a2 = k * k * norm, 2 * (k * k - 1) * norm, (1 - np.sqrt(2) * k + k * k) * norm
+    pad = min(len(x) - 1, 9)
+
+    def once(y):
+        out = np.empty(len(y))
+        s1 = y[0] * (1 - b0)  # the state that a constant input would have left
+        s2 = y[0] * (b0 - a2)
+        for i, v in enumerate(y):
+            out[i] = b0 * v + s1
+            s1 = 2 * b0 * v - a1 * out[i] + s2
+            s2 = b0 * v - a2 * out[i]
+        return out
+
+    if len(x) < 2:
+        return x.astype(float)
+    y = np.concatenate((2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]))
+    y = once(once(y)[::-1])[::-1]
+    return y[pad : len(y) - pad]
+
+
+def peaks(x: np.ndarray, distance: int, height: float) -> list[int]:
+    """Local maxima above ``height``, the earlier first, at least ``distance`` rows apart."""
+    out: list[int] = []
+    for i in range(1, len(x) - 1):
+        if x[i] > height and x[i] > x[i - 1] and x[i] >= x[i + 1] and (not out or i - out[-1] >= distance):
+            out.append(i)
+    return out
+
+
+def peak_count(x: np.ndarray, distance: int) -> int:
+    x = x[np.isfinite(x)]
+    return len(peaks(x, distance, x.mean() + 0.5 * x.std())) if len(x) > 2 else 0
+
+
+def eda(rows: pd.DataFrame, value: str, rate: float) -> dict:
+    """Slow and fast part of skin conductance: their means, and the fast part's peaks."""
+    x = filled(rows[value].to_numpy(float))
+    tonic = low_pass(x, rate, 0.05) if len(x) > 12 else np.full(len(x), np.median(x))
+    phasic = x - tonic
+    found = peaks(phasic, max(1, int(0.8 * rate)), max(0.5 * phasic.std(), 0.002))
+    high = phasic[found] if found else np.array([np.nan])
+    minutes = len(x) / rate / 60
+    return {"tonic_mean": tonic.mean(), "phasic_mean": phasic.mean(), "peaks": len(found), "peaks_min": len(found) / minutes if minutes else np.nan, "amplitude_mean": float(np.mean(high)), "amplitude_p95": float(np.percentile(high, 95))}
+
+
+EDA_SCHEMA = "tonic_mean double, phasic_mean double, peaks int, peaks_min double, amplitude_mean double, amplitude_p95 double"
+
+
+def spectral_rate(rows: pd.DataFrame, value: str, rate: float, low: float = 0.6, high: float = 3.5, least: int = 64) -> dict:
+    """The strongest frequency of a band, a minute; null for fewer than ``least`` finite values."""
+    x = rows[value].to_numpy(float)
+    x = x[np.isfinite(x)]
+    if len(x) < least:
+        return {"per_minute": None}
+    f = np.fft.rfftfreq(len(x), 1 / rate)
+    power = np.abs(np.fft.rfft(x - x.mean())) ** 2
+    band = (f >= low) & (f <= high)
+    return {"per_minute": float(60 * f[band][power[band].argmax()]) if band.any() else None}
+
+
+def pulse(rows: pd.DataFrame, value: str, rate: float, expected_per_minute: float = 75.0) -> dict:
+    """Beats of a pulse wave in both polarities, and the rate and variability of the better one."""
+    x = filled(rows[value].to_numpy(float))
+    spectrum = np.fft.rfft(x - x.mean())
+    f = np.fft.rfftfreq(len(x), 1 / rate)
+    spectrum[(f < 0.7) | (f > 3.0)] = 0
+    band = np.fft.irfft(spectrum, len(x))
+    apart = max(1, int(0.5 * rate * 60 / expected_per_minute))
+    best = {"rate": None, "rmssd": None, "sdnn": None, "pnn50": None, "quality": 0.0}
+    for sign in (1, -1):
+        at = peaks(sign * band, apart, 0.3 * band.std())
+        gaps = np.diff(at) * 1000 / rate
+        if len(gaps) < 3:
+            continue
+        mid = np.median(gaps)
+        clean = gaps[(gaps >= 300) & (gaps <= 2000) & (np.abs(gaps - mid) <= max(250, 0.25 * mid))]
+        if len(clean) < 3:
+            continue
+        bpm, d = 60_000 / clean.mean(), np.diff(clean)
+        quality = 0.4 * len(clean) / len(gaps) + 0.3 * max(0.0, 1 - abs(bpm - expected_per_minute) / expected_per_minute) + 0.2 * max(0.0, 1 - clean.std() / clean.mean()) + 0.1 * min(1.0, len(clean) / 30)
+        if quality > best["quality"]:
+            best = {"rate": bpm, "rmssd": float(np.sqrt((d**2).mean())), "sdnn": float(clean.std(ddof=1)), "pnn50": float((np.abs(d) > 50).mean()), "quality": quality}
+    return best
+
+
+PULSE_SCHEMA = "rate double, rmssd double, sdnn double, pnn50 double, quality double"
+
+
+def hull_area(rows: pd.DataFrame, x: str, y: str) -> dict:
+    """Area of the convex hull of a group's points (monotone chain)."""
+    p = sorted({(a, b) for a, b in zip(rows[x], rows[y]) if np.isfinite(a) and np.isfinite(b)})
+    if len(p) < 3:
+        return {"area": 0.0}
+
+    def half(points):
+        out: list[tuple[float, float]] = []
+        for q in points:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]):
+                out.pop()
+            out.append(q)
+        return out[:-1]
+
+    h = np.array(half(p) + half(p[::-1]))
+    z = np.roll(h, -1, axis=0)
+    return {"area": float(abs((h[:, 0] * z[:, 1] - z[:, 0] * h[:, 1]).sum()) / 2)}
+
+
+def gaussian_posterior(t: np.ndarray, seen_t: np.ndarray, seen_y: np.ndarray, noise: np.ndarray, mean: float, rate: float, sd: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and sd at times t of a mean-reverting process, given noisy observations; the prior without any."""
+    if not len(seen_t):
+        return np.full(len(t), mean), np.full(len(t), sd)
+    k = lambda a, b: sd**2 * np.exp(-rate * np.abs(a[:, None] - b[None, :]))
+    solve = np.linalg.solve(k(seen_t, seen_t) + np.diag(noise**2), np.column_stack((seen_y - mean, k(seen_t, t))))
+    cross = k(t, seen_t)
+    return mean + cross @ solve[:, 0], np.sqrt(np.maximum(sd**2 - np.einsum("ij,ji->i", cross, solve[:, 1:]), 1e-12))
+
+
+def process_posterior(queries: DataFrame, observations: DataFrame, keys: list[str], mean: float, rate: float, sd: float) -> DataFrame:
+    """mu and sigma of each query (keys, t) from its key's observations (keys, t, y, noise)."""
+    types = dict(queries.dtypes)
+
+    def run(key, q, o):
+        q = q.sort_values("t")
+        mu, s = gaussian_posterior(q["t"].to_numpy(float), o["t"].to_numpy(float), o["y"].to_numpy(float), o["noise"].to_numpy(float), mean, rate, sd)
+        return pd.DataFrame({**dict(zip(keys, key)), "t": q["t"], "mu": mu, "sigma": s})
+
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + f", t {types['t']}, mu double, sigma double"
+    return queries.select(*keys, "t").groupBy(*keys).cogroup(observations.select(*keys, "t", "y", "noise").groupBy(*keys)).applyInPandas(run, schema)
+
+
+def triangulate(detections: DataFrame, cameras: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key, of two cameras or more: the 3-D point and its mean reprojection error in pixels.
+
+    detections: keys, camera, u, v; cameras: camera, p (12 numbers, a 3 x 4 matrix by rows).
+    Each key's few observations meet in one group.
+    """
+    def solve(rows: pd.DataFrame) -> dict:
+        p = np.stack([np.reshape(x, (3, 4)) for x in rows["p"]]).astype(float)
+        u, v = rows["u"].to_numpy(float), rows["v"].to_numpy(float)
+        if len(p) < 2:
+            return {"px": None, "py": None, "pz": None, "error": None, "cameras": len(p)}
+        a = np.concatenate((u[:, None] * p[:, 2] - p[:, 0], v[:, None] * p[:, 2] - p[:, 1]))
+        h = np.linalg.eigh(a.T @ a)[1][:, 0]
+        if abs(h[3]) < 1e-12:
+            return {"px": None, "py": None, "pz": None, "error": None, "cameras": len(p)}
+        point = h / h[3]
+        seen = p @ point
+        error = np.hypot(seen[:, 0] / seen[:, 2] - u, seen[:, 1] / seen[:, 2] - v).mean()
+        return {"px": point[0], "py": point[1], "pz": point[2], "error": float(error), "cameras": len(p)}
+
+    both = detections.join(cameras, "camera")
+    return by_group(both, keys, "camera", solve, "px double, py double, pz double, error double, cameras int")

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from cohorta.plans import clocks, evaluation, features, groups, joins, scalars, windows
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _part in (windows, joins, features, groups, clocks, evaluation, scalars):
+    QUERIES |= _part.QUERIES
+    ORACLE_SQL |= _part.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n"))
+    return windows.rolling_features(spark, sf_dir)
