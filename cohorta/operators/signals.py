@@ -158,8 +158,11 @@ def process_posterior(queries: DataFrame, observations: DataFrame, keys: list[st
     types = dict(queries.dtypes)
 
     def run(key, q, o):
+        if q.empty:  # an empty side has no columns
+            return pd.DataFrame(columns=[*keys, "t", "mu", "sigma"])
         q = q.sort_values("t")
-        mu, s = gaussian_posterior(q["t"].to_numpy(float), o["t"].to_numpy(float), o["y"].to_numpy(float), o["noise"].to_numpy(float), mean, rate, sd)
+        seen = [o[c].to_numpy(float) for c in ("t", "y", "noise")] if len(o) else [np.zeros(0)] * 3
+        mu, s = gaussian_posterior(q["t"].to_numpy(float), *seen, mean, rate, sd)
         return pd.DataFrame({**dict(zip(keys, key)), "t": q["t"], "mu": mu, "sigma": s})
 
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + f", t {types['t']}, mu double, sigma double"

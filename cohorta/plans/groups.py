@@ -63,13 +63,13 @@ def best_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH u AS (SELECT l_returnflag, unnest(['discount', 'price', 'quantity']) AS feature, unnest([l_discount, l_extendedprice / 1000, l_quantity]) AS v FROM lineitem)
-SELECT l_returnflag, feature, count(*) AS n, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.5), 6) AS median, round(stddev_samp(v), 6) AS sd, round(quantile_cont(v, 0.25), 6) AS p25, round(quantile_cont(v, 0.75), 6) AS p75,
-  round(stddev_samp(v) / sqrt(count(*)), 6) AS sem, round(avg(v) - 1.96 * stddev_samp(v) / sqrt(count(*)), 6) AS low, round(avg(v) + 1.96 * stddev_samp(v) / sqrt(count(*)), 6) AS high, round(avg(v) / stddev_samp(v), 6) AS effect FROM u GROUP BY ALL""")
+SELECT l_returnflag, feature, count(*) AS n, round(avg(v), 8) AS mean, round(quantile_cont(v, 0.5), 8) AS median, round(stddev_samp(v), 8) AS sd, round(quantile_cont(v, 0.25), 8) AS p25, round(quantile_cont(v, 0.75), 8) AS p75,
+  round(stddev_samp(v) / sqrt(count(*)), 8) AS sem, round(avg(v) - 1.96 * stddev_samp(v) / sqrt(count(*)), 8) AS low, round(avg(v) + 1.96 * stddev_samp(v) / sqrt(count(*)), 8) AS high, round(avg(v) / stddev_samp(v), 8) AS effect FROM u GROUP BY ALL""")
 def series_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of several numbers of lineitem, unpivoted, by return flag."""
     df = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_discount").alias("discount"), (F.col("l_extendedprice") / 1000).alias("price"), F.col("l_quantity").alias("quantity"))
     u = group.unpivot(df, ["l_returnflag"], ["discount", "price", "quantity"])
-    return _rounded(group.series(u, ["l_returnflag", "feature"], "value"), places=6)
+    return _rounded(group.series(u, ["l_returnflag", "feature"], "value"), places=8)
 
 
 @query(_with(PER_TASK_SQL, "b AS (SELECT participant, m AS base FROM per_task WHERE task = 0)") + " SELECT task, count(*) AS n, round(avg(m - base), 9) AS mean, round(stddev_samp(m - base), 9) AS sd FROM per_task JOIN b USING (participant) WHERE task > 0 GROUP BY task")
