@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohorta.llm import topk
+from cohorta.llm import oracles, topk
 from cohorta.llm.decontaminate import op1_decontaminate
 from cohorta.llm.language import op10_language_id
 from cohorta.llm.near_dedup import op4_near_dedup
@@ -26,4 +26,9 @@ QUERIES = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_top_k": topk.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontaminate": oracles.DECONTAMINATE,
+    "op3_substring_dedup": oracles.SUBSTRINGS,
+    "op4_near_dedup": oracles.NEAR_DUPLICATES,
+    "op8_top_k": topk.ORACLE_SQL,
+}
