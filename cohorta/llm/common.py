@@ -43,6 +43,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts reach Python in batches of at most ``rows`` rows, so a task's memory stays small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the decimal doc_id, modulo ``n``; a null id counts as the empty string."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
@@ -64,7 +71,7 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], start, end
 
 
-def slices(batch: pa.RecordBatch, most_bytes: int = 8 << 20, column: str = "text"):
+def slices(batch: pa.RecordBatch, most_bytes: int = 2 << 20, column: str = "text"):
     """Cut a batch into runs of rows of about ``most_bytes`` of text, one row at least."""
     if not batch.num_rows:
         return
@@ -124,7 +131,7 @@ class PrefixHash:
         return mix((prefix[end] - prefix[start]) * self.down[start])
 
 
-def arrow_rows(batches, work, out_schema: pa.Schema, most_bytes: int = 8 << 20, column: str = "text"):
+def arrow_rows(batches, work, out_schema: pa.Schema, most_bytes: int = 2 << 20, column: str = "text"):
     """Run ``work(batch) -> list of arrays`` on bounded slices of the input batches."""
     for batch in batches:
         for part in slices(batch, most_bytes, column):
@@ -185,16 +192,21 @@ class IdFilter:
             table[r["at"]] = r["word"]
         self.sent = ids.sparkSession.sparkContext.broadcast(table.view(np.uint8))
 
-    def semi_join(self, rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-        """The rows whose ``key`` is in ``ids`` (a column of that name); key must be a long."""
+    def maybe(self, rows: DataFrame, key: str, inside: bool) -> DataFrame:
+        """The rows whose ``key`` (a long) may be in the set, or those whose key is not."""
         sent, name = self.sent, free_name(rows, "h")
 
         def keep(batches):
             for batch in batches:
-                h = np.asarray(batch.column(batch.num_columns - 1)).astype(np.int64) & (IdFilter.BITS - 1)
-                maybe = np.flatnonzero(sent.value[h >> 3] >> (h & 7).astype(np.uint8) & 1)
-                if len(maybe):
-                    yield batch.select(list(range(batch.num_columns - 1))).take(pa.array(maybe))
+                last = batch.num_columns - 1
+                h = np.asarray(batch.column(last)).astype(np.int64) & (IdFilter.BITS - 1)
+                hit = (sent.value[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)
+                found = np.flatnonzero(hit if inside else ~hit)
+                if len(found):
+                    yield batch.select(list(range(last))).take(pa.array(found))
 
-        hashed = rows.where(F.col(key).isNotNull()).withColumn(name, F.xxhash64(key))
-        return hashed.mapInArrow(keep, rows.schema).join(ids, key, "left_semi")
+        return rows.withColumn(name, F.xxhash64(key)).mapInArrow(keep, rows.schema)
+
+    def semi_join(self, rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+        """The rows whose ``key`` is in ``ids`` (a column of that name); key must be a long."""
+        return self.maybe(rows.where(F.col(key).isNotNull()), key, True).join(ids, key, "left_semi")

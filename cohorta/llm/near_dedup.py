@@ -10,6 +10,7 @@
 4. Survivors are verified on full sets. A first round verifies a spanning forest of each
    block; a second round verifies every other survivor whose ends are still apart. So
    copies are not expanded into all pairs, and no survivor that matters goes unverified.
+   In the second round the comparison goes on to ``LONG`` hashes.
 5. Components of the verified links by star contraction.
 
 * Words: ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. Fewer than five words: the whole
@@ -31,17 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohorta.llm.common import slices, staged
+from cohorta.llm.common import IdFilter, bounded_batches, slices, staged
 from cohorta.llm.components import components
 from cohorta.llm.shingles import HASHES, Shingles, set_key, signature
 
 HUNDREDTHS = 85
 ROWS = 5
 BATCH = 25
+#: Hashes compared in the second round, where most pairs lie close below the threshold.
+LONG = 750
 MISS = 1e-5
 BLOCK = 1024
-#: Bits of the filter that spares texts in no candidate pair a shuffle; its size is fixed.
-FILTER_BITS = 1 << 25
 
 
 def least_matches(threshold: float, n: int, miss: float) -> int:
@@ -90,13 +91,13 @@ def _by_block(members: DataFrame) -> DataFrame:
     return both.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other", "blocks")
 
 
-def _survivors(members: DataFrame, forest: bool, hundredths: int, miss: float) -> DataFrame:
+def _survivors(members: DataFrame, forest: bool, hundredths: int, miss: float, hashes: int = HASHES) -> DataFrame:
     """Pairs (a, b) of classes whose signatures survive; forest: a spanning forest of them.
 
     members: bucket, band, rep, n, sig, component, low, high, block.
     """
     threshold = hundredths / 100
-    steps = [(k, least_matches(threshold, k, miss)) for k in range(BATCH, HASHES + 1, BATCH)]
+    steps = [(k, least_matches(threshold, k, miss)) for k in range(BATCH, hashes + 1, BATCH)]
 
     def compare(left, right, same, band):
         """Matches of the surviving pairs of two lists of members."""
@@ -115,14 +116,14 @@ def _survivors(members: DataFrame, forest: bool, hundredths: int, miss: float) -
                 i, j, m = i[keep], j[keep], m[keep]
             # A pair belongs to the first band that both are in, and so comes up once.
             if len(i):
-                mine = (ls[i] == rs[j]).reshape(len(i), -1, ROWS).all(axis=2).argmax(axis=1) == band
+                mine = (ls[i, :HASHES] == rs[j, :HASHES]).reshape(len(i), -1, ROWS).all(axis=2).argmax(axis=1) == band
                 yield i[mine], j[mine], m[mine]
 
     def run(batches):
         def flush(group):
             if len(group["rep"]) < 2:
                 return None
-            sig = np.frombuffer(b"".join(group["sig"]), np.uint32).reshape(-1, HASHES)
+            sig = np.frombuffer(b"".join(group["sig"]), np.uint32).reshape(-1, hashes)
             g = {"sig": sig, **{c: np.array(group[c], np.int64) for c in ("rep", "n", "component", "block")}}
             low, high, band = group["low"], group["high"], group["band"]
             pick = lambda mask: {c: v[mask] for c, v in g.items()}
@@ -167,44 +168,35 @@ def _survivors(members: DataFrame, forest: bool, hundredths: int, miss: float) -
     return width.mapInArrow(run, "a long, b long").distinct()
 
 
-def _filter(ids: DataFrame) -> np.ndarray:
-    """A bit set of fixed size that has every id's hash; others may be in it too."""
+def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, whole set as bytes) of the documents named in ids."""
 
-    def fill(batches):
-        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    def run(batches):
+        made = Shingles()
         for batch in batches:
-            h = np.asarray(batch.column(0)).astype(np.int64) & (FILTER_BITS - 1)
-            np.bitwise_or.at(bits, h >> 3, (1 << (h & 7)).astype(np.uint8))
-        words = bits.view(np.int64)
-        at = np.flatnonzero(words)
-        yield pa.RecordBatch.from_pydict({"at": at.astype(np.int32), "word": words[at]})
+            for part in slices(batch):
+                yield pa.RecordBatch.from_pydict({"id": part.column(0), "shingles": pa.array([x.tobytes() for x in made.sets(part.column(1))], pa.binary())})
 
-    words = ids.select(F.xxhash64("id").alias("h")).mapInArrow(fill, "at int, word long").groupBy("at").agg(F.bit_or("word").alias("word"))
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in words.toLocalIterator():
-        out[r["at"]] = r["word"]
-    return out.view(np.uint8)
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    return IdFilter(ids).semi_join(rows, ids, "id").mapInArrow(run, "id long, shingles binary")
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, whole set as bytes) of the documents named in ids."""
-    bits = docs.sparkSession.sparkContext.broadcast(_filter(ids))
+def _long_signatures(docs: DataFrame, ids: DataFrame, hashes: int) -> DataFrame:
+    """(id, long) of the documents named in ids; the first hashes are those of the short one."""
 
     def run(batches):
         made = Shingles()
         for batch in batches:
-            h = np.asarray(batch.column(2)).astype(np.int64) & (FILTER_BITS - 1)
-            maybe = np.flatnonzero(bits.value[h >> 3] >> (h & 7).astype(np.uint8) & 1)
-            for part in slices(batch.take(pa.array(maybe))):
-                yield pa.RecordBatch.from_pydict({"id": part.column(0), "shingles": pa.array([x.tobytes() for x in made.sets(part.column(1))], pa.binary())})
+            for part in slices(batch):
+                yield pa.RecordBatch.from_pydict({"id": part.column(0), "long": pa.array([signature(x, hashes).tobytes() for x in made.sets(part.column(1))], pa.binary())})
 
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text").withColumn("h", F.xxhash64("id"))
-    return rows.mapInArrow(run, "id long, shingles binary").join(ids, "id", "left_semi")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    return IdFilter(ids).semi_join(rows, ids, "id").mapInArrow(run, "id long, long binary")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, hundredths: int) -> DataFrame:
     """Of the pairs those that the full sets bear out."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     sets = staged(_sets_of(docs, ids), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
 
@@ -223,6 +215,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, hundredths: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, hundredths: int = HUNDREDTHS, miss: float = MISS) -> DataFrame:
     """Of each input row doc_id, n_shingles, component_id (smallest doc_id reachable) and kept."""
+    bounded_batches(docs.sparkSession)
     all_rows = staged(_signatures(docs), "signatures")
     named = all_rows.where("doc_id is not null and k1 is not null")
     classes = staged(named.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
@@ -233,10 +226,13 @@ def near_duplicates(docs: DataFrame, *, hundredths: int = HUNDREDTHS, miss: floa
     found = staged(components(links), "components")
     labelled = crowded.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     apart = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("bucket")
-    rest = staged(_survivors(labelled.join(apart, "bucket", "left_semi"), False, hundredths, miss).join(first, ["a", "b"], "left_anti"), "rest")
+    open_rows = staged(labelled.join(apart, "bucket", "left_semi"), "apart")
+    longer = staged(_long_signatures(docs, open_rows.select(F.col("rep").alias("id")).distinct(), LONG), "long")
+    open_rows = open_rows.drop("sig").join(longer.select(F.col("id").alias("rep"), F.col("long").alias("sig")), "rep")
+    rest = staged(_survivors(open_rows, False, hundredths, miss, LONG).join(first, ["a", "b"], "left_anti"), "rest")
     more = staged(_verified(docs, rest, hundredths), "links")
     if not more.isEmpty():
-        found = staged(components(links.union(more)), "components")
+        found = staged(components(found.select("node", "component").toDF("a", "b").union(more)), "components")
 
     of_class = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     judged = all_rows.drop("sig").join(of_class, ["k1", "k2"], "left")

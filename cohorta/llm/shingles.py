@@ -10,7 +10,7 @@ WORDS, HASHES = 5, 125
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.frombuffer(LOWER, np.uint8)
-_SEEDS = np.random.default_rng(1125).integers(1, 1 << 63, (3, 512), np.uint64)
+_SEEDS = np.random.default_rng(1125).integers(1, 1 << 63, (3, 1024), np.uint64)
 
 
 class Shingles:
