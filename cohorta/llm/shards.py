@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohorta.llm.common import mix, shared_dir, staged
+from cohorta.llm.common import bounded_batches, mix, shared_dir, staged
 from cohorta.llm.tokens import read_tokenizer, text_ids
 
 LENGTH, PER_SHARD, END_ID, KEY, ROUNDS = 2048, 4096, 2, 0x5EED, 6
@@ -89,6 +89,7 @@ def write_shards(docs: DataFrame, path: str, *, tokenizer: str | None = None, le
     bytes, and doc_ids, the documents that it has ids of.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     spec = spark.sparkContext.broadcast(read_tokenizer(tokenizer))
     plain = docs.select(F.col("doc_id").cast("long"), "text")
 

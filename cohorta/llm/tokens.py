@@ -40,49 +40,59 @@ def _byte_letters() -> dict[int, str]:
     return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(128, 256)}
 
 
+class _Pieces(dict):
+    """Ids of pieces of text, worked out once; the least recent half is dropped in turn."""
+
+    HALF = 750_000
+
+    def __init__(self, model, dtype):
+        super().__init__()
+        self.model, self.dtype, self.letters, self.old = model, dtype, _byte_letters(), {}
+
+    def word(self, w: str) -> bytes:
+        ids = self.get(w) or self.old.get(w)
+        if ids is None:
+            plain = w if w.isascii() else w.translate(self.letters)
+            ids = np.array([t.id for t in self.model.tokenize(plain)], self.dtype).tobytes()
+        self[w] = ids
+        return ids
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            parts = _PIECES(chunk)
+            ids = self.word(chunk) if parts == [chunk] else b"".join(map(self.word, parts))
+        self[chunk] = ids
+        return ids
+
+    def turn(self) -> None:
+        if len(self) > self.HALF:
+            self.old = dict(self)
+            self.clear()
+
+
 class TextIds:
     """Ids as little-endian bytes of ``self.dtype``: 2 bytes an id where the vocabulary allows."""
 
-    MOST = 500_000
-
     def __init__(self, spec: str):
         quiet_threads()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cache: dict[str, bytes] = {}
-        self.letters = _byte_letters()
+        self.pieces = _Pieces(self.tokenizer.model, self.dtype)
         kind = json.loads(spec)
         split = json.dumps(kind.get("pre_tokenizer"))
         self.short = "'s|'t|'re|'ve|'m|'ll|'d|[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" in split and [x["type"] for x in (kind.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
 
-    def _piece(self, chunk: str) -> bytes:
-        out = []
-        for w in _PIECES(chunk):
-            ids = self.cache.get(w)
-            if ids is None:
-                plain = w if w.isascii() else w.translate(self.letters)
-                ids = self.cache[w] = np.array([t.id for t in self.model.tokenize(plain)], self.dtype).tobytes()
-            out.append(ids)
-        ids = self.cache[chunk] = b"".join(out)
-        return ids
-
     def __call__(self, text: str) -> bytes:
         """Null and empty texts have no ids."""
         if not text:
             return b""
         if not (self.short and _PLAIN(text) and "<|" not in text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        if len(self.cache) > self.MOST:
-            self.cache.clear()
-        words = text.lower().split()
-        try:
-            return b"".join(map(self.cache.__getitem__, words))
-        except KeyError:
-            get = self.cache.get
-            return b"".join([x if (x := get(w)) is not None else self._piece(w) for w in words])
+        self.pieces.turn()
+        return b"".join(map(self.pieces.__getitem__, text.lower().split()))
 
 
 _MADE: dict[int, TextIds] = {}
