@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohorta.llm.common import IdFilter, fold, staged
+from cohorta.llm.common import IdFilter, bounded_batches, fold, staged
 from cohorta.llm.decontaminate import _WORD_BYTE
 
 PREFIX = 4
@@ -110,9 +110,8 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     label = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     keyed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("h"))
     one = staged(keyed.join(label, "doc_id").groupBy("h", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic").distinct(), "labelled")
-    ids = one.select("doc_id")
-    rows = IdFilter(ids).semi_join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, "doc_id")
-    return rows.join(one, "doc_id")
+    rows = IdFilter(one).maybe(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", True)
+    return rows.join(one.hint("merge"), "doc_id")  # labels grow with the corpus: never broadcast them
 
 
 def _count_tokens(rows: DataFrame) -> DataFrame:
@@ -150,6 +149,7 @@ def _lexicon(counts: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
 def _passages(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Adds n_words and passages: the maximal segments as (score, first word, end)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.drop(*[c for c in docs.columns if c.lower() in {"n_words", "passages", "word_scores"}])
     blocks = max(1, math.ceil(lexicon.count() / BLOCK_TOKENS))
     passage = pa.list_(pa.struct([("score", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))
