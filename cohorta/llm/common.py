@@ -43,6 +43,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*written: DataFrame) -> None:
+    """Deletes the folders of staged frames that a later staged frame has made needless."""
+    for df in written:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Texts reach Python in batches of at most ``rows`` rows, so a task's memory stays small."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -50,6 +59,17 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, rows)
 
 
+_KEPT: dict = {}
+
+
+def kept(key: tuple, make):
+    """What outlives a task in a Python worker: the object asked for last, and no other."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the decimal doc_id, modulo ``n``; a null id counts as the empty string."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
@@ -188,8 +208,8 @@ class IdFilter:
 
         words = ids.select(F.xxhash64(F.col(ids.columns[0]).cast("long")).alias("h")).mapInArrow(fill, "at int, word long")
         table = np.zeros(IdFilter.BITS // 64, np.int64)
-        for r in words.groupBy("at").agg(F.bit_or("word").alias("word")).toLocalIterator():
-            table[r["at"]] = r["word"]
+        found = words.groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()  # BITS / 64 rows at most
+        table[np.asarray(found.column("at"))] = np.asarray(found.column("word"))
         self.sent = ids.sparkSession.sparkContext.broadcast(table.view(np.uint8))
 
     def maybe(self, rows: DataFrame, key: str, inside: bool) -> DataFrame:

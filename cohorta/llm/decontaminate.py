@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohorta.llm.common import LOWER, concat_ranges, mix, text_bytes
+from cohorta.llm.common import LOWER, bounded_batches, concat_ranges, mix, text_bytes
 
 NGRAM = 13
 #: Most bytes of benchmark text in one broadcast.
@@ -140,6 +140,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, ngram: int = NGRAM,
     contaminated: some word is hit and at least ``share`` of the words are.
     """
     spark: SparkSession = docs.sparkSession
+    bounded_batches(spark)
     added = T.StructType().add("n_words", "long").add("hit_spans", T.ArrayType(T.ArrayType(T.IntegerType()))).add("items", T.ArrayType(T.StringType()))
     own = {f.name for f in added} | {"n_hit", "contaminated"}
     docs = docs.drop(*[c for c in docs.columns if c.lower() in own])

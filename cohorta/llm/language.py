@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohorta.llm.common import fold
+from cohorta.llm.common import bounded_batches, fold, kept
 
 DIM, NGRAM, SEED = 1024, 3, 20240501
 SYMBOLS = 1024
@@ -52,7 +52,7 @@ class Profiles:
         self.letters = np.random.default_rng(seed).integers(0, 2, (SYMBOLS, dim), np.int8) * 2 - 1
         self.symbols = _symbols()
         self.keys = np.zeros(0, np.int64)
-        self.vectors = np.zeros((0, dim), np.float32)
+        self.vectors = np.zeros((0, dim), np.int8)
 
     def grams(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The n-grams of a text and how often each occurs."""
@@ -80,32 +80,26 @@ class Profiles:
                 made *= np.roll(self.letters, self.ngram - 1 - j, axis=1)[letter]
             all_keys = np.concatenate((self.keys, new))
             order = np.argsort(all_keys)
-            self.keys, self.vectors = all_keys[order], np.concatenate((self.vectors, made.astype(np.float32)))[order]
+            self.keys, self.vectors = all_keys[order], np.concatenate((self.vectors, made))[order]
         return np.searchsorted(self.keys, keys)
 
     def bundles(self, texts: list[str]) -> np.ndarray:
         """A unit vector for each text; texts must not be empty."""
         out = np.zeros((len(texts), self.dim), np.float32)
         grams = [self.grams(t) for t in texts]
-        for low in range(0, len(texts), 256):
-            part = grams[low : low + 256]
+        for low in range(0, len(texts), 128):
+            part = grams[low : low + 128]
             flat = np.concatenate([k for k, _ in part])
             seen, place = np.unique(flat, return_inverse=True)
             count = np.zeros((len(part), len(seen)), np.float32)
             count[np.repeat(np.arange(len(part)), [len(k) for k, _ in part]), place] = np.concatenate([n for _, n in part])
             at = self.rows(seen)
-            out[low : low + 256] = count @ self.vectors[at]
+            out[low : low + 128] = count @ self.vectors[at].astype(np.float32)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
-_MADE: dict[tuple, Profiles] = {}
-
-
 def _profiles(*how) -> Profiles:
-    if how not in _MADE:
-        _MADE.clear()
-        _MADE[how] = Profiles(*how)
-    return _MADE[how]
+    return kept(("profiles", *how), lambda: Profiles(*how))
 
 
 def learn_languages(labelled: DataFrame, *, dim: int = DIM, ngram: int = NGRAM, seed: int = SEED) -> dict[str, np.ndarray]:
@@ -126,6 +120,7 @@ def learn_languages(labelled: DataFrame, *, dim: int = DIM, ngram: int = NGRAM,
         if total:
             yield pa.RecordBatch.from_pydict({"lang": pa.array(list(total), pa.string()), "bundle": pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))})
 
+    bounded_batches(labelled.sparkSession)
     sums = labelled.where("text is not null and lang is not null").select("text", "lang").mapInArrow(bundle, "lang string, bundle array<double>")
     by_dim = sums.select("lang", F.posexplode("bundle").alias("d", "x")).groupBy("lang", "d").agg(F.sum("x").alias("x"))
     rows = by_dim.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("v")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
@@ -139,6 +134,7 @@ def identify_language(docs: DataFrame, prototypes: dict[str, np.ndarray], *, dim
     """Adds lang_pred, lang_cosine (of the best language) and score (0 to 1, softmax of cosines)."""
     own = {"lang_pred", "lang_cosine", "score"}
     docs = docs.drop(*[c for c in docs.columns if c.lower() in own])
+    bounded_batches(docs.sparkSession)
     names = list(prototypes)
     sent = docs.sparkSession.sparkContext.broadcast(np.stack([prototypes[g] for g in names]) if names else None)
 
@@ -159,8 +155,8 @@ def identify_language(docs: DataFrame, prototypes: dict[str, np.ndarray], *, dim
                 pred += p
                 cosine += c
                 score += s
-            kept = {f.name: batch.column(k) for k, f in enumerate(batch.schema)}
-            yield pa.RecordBatch.from_pydict(kept | {"lang_pred": pa.array(pred, pa.string()), "lang_cosine": pa.array(cosine, pa.float64()), "score": pa.array(score, pa.float64())})
+            rest = {f.name: batch.column(k) for k, f in enumerate(batch.schema)}
+            yield pa.RecordBatch.from_pydict(rest | {"lang_pred": pa.array(pred, pa.string()), "lang_cosine": pa.array(cosine, pa.float64()), "score": pa.array(score, pa.float64())})
 
     schema = docs.withColumn("lang_pred", F.lit("")).withColumn("lang_cosine", F.lit(0.0)).withColumn("score", F.lit(0.0)).schema
     for f in schema.fields[-3:]:

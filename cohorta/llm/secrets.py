@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohorta.llm.common import text_bytes
+from cohorta.llm.common import bounded_batches, text_bytes
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -78,6 +78,7 @@ def train(docs: DataFrame) -> np.ndarray | None:
         at = np.flatnonzero(whole + random)
         yield pa.RecordBatch.from_pydict({"pair": at.astype(np.int32), "whole": whole[at], "random": random[at]})
 
+    bounded_batches(docs.sparkSession)
     sums = docs.select("text").mapInArrow(count, "pair int, whole long, random long").groupBy("pair").agg(F.sum("whole").alias("whole"), F.sum("random").alias("random"))
     whole, random = np.zeros(SYMBOLS * SYMBOLS), np.zeros(SYMBOLS * SYMBOLS)
     for r in sums.collect():  # SYMBOLS squared rows at most
@@ -113,6 +114,7 @@ def added_spans(text: str, ratio: np.ndarray, base: list[tuple[int, int, int]])
 def scan_secrets(docs: DataFrame, ratio: np.ndarray | None) -> DataFrame:
     """Adds secrets: an array of (kind, start, end) in order of start, then kind."""
     docs = docs.drop(*[c for c in docs.columns if c.lower() == "secrets"])
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(ratio)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 

@@ -12,7 +12,7 @@ import re
 
 import numpy as np
 
-from cohorta.llm.common import quiet_threads
+from cohorta.llm.common import kept, quiet_threads
 
 #: The words of the vocabulary file that the shortcut below was checked against.
 _LATIN = "a-zß-öø-ÿ"
@@ -95,12 +95,6 @@ class TextIds:
         return b"".join(map(self.pieces.__getitem__, text.lower().split()))
 
 
-_MADE: dict[int, TextIds] = {}
-
-
 def text_ids(spec: str) -> TextIds:
     """One per Python worker and tokenizer, so its memory of pieces outlives a task."""
-    if (key := hash(spec)) not in _MADE:
-        _MADE.clear()
-        _MADE[key] = TextIds(spec)
-    return _MADE[key]
+    return kept(("tokens", spec), lambda: TextIds(spec))
