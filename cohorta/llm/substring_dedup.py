@@ -37,13 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohorta.llm.common import IdFilter, PrefixHash, concat_ranges, mix, slices, staged, text_bytes
+from cohorta.llm.common import IdFilter, PrefixHash, bounded_batches, concat_ranges, discard, mix, slices, staged, text_bytes
 
 LEAST, GRAM = 50, 20
 #: Most starts of one span, and about how many spans of one anchor meet in a task.
 SPAN, CHUNK = 256, 4096
 #: Bits of the anchor filter, of fixed size whatever the corpus.
-FILTER_BITS = 1 << 26
+FILTER_BITS = 1 << 27
 #: Bytes of text that a bucket of anchors stands for.
 BUCKET_BYTES = 16 << 20
 #: Starts whose suffix order a task builds at once, at the least.
@@ -92,7 +92,7 @@ def _anchor_filter(docs: DataFrame, least: int, gram: int):
     def collect(batches):
         made = Anchors(least, gram)
         for batch in batches:
-            for part in slices(batch, 8 << 20, "text"):
+            for part in slices(batch):
                 raw, start, end = text_bytes(part.column(1))
                 v, row, *_ = made.spans(raw, start, end)
                 if not len(v):
@@ -141,7 +141,7 @@ def _shared_spans(docs: DataFrame, least: int, gram: int) -> DataFrame:
     def run(batches):
         made = Anchors(least, gram)
         for batch in batches:
-            for part in slices(batch, 8 << 20, "text"):
+            for part in slices(batch):
                 raw, start, end = text_bytes(part.column(1))
                 v, row, lo, n, text = made.spans(raw, start, end)
                 key = (v >> np.uint64(32 - bits)).astype(np.uint32).astype(np.int64) % own
@@ -234,13 +234,16 @@ def _with_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def removed_intervals(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """(doc, t, lo, hi): intervals of bytes that go; they may overlap. docs: doc, text, t."""
     spans = staged(_shared_spans(docs, least, gram), "spans")
-    firsts = staged(spans.groupBy("v", "span").agg(F.min("doc").alias("m")), "firsts")
-    anchors = staged(firsts.groupBy("v").agg(F.count("*").alias("spans")), "anchors")
-    judged = spans.join(firsts, ["v", "span"])
-    later = judged.where("doc > m").select("doc", "t", "lo", (F.col("lo") + F.col("n") + (least - 1)).cast("int").alias("hi"))
-    several = judged.where("doc = m").join(anchors.where("spans > 1"), "v")
-    several = several.withColumn("chunks", F.ceil(F.col("spans") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("doc", "v"), F.col("chunks")).cast("int"))
-    text = _with_text(docs, staged(several.select("v", "chunk", "chunks", "doc", "t", "lo", "n"), "several"))
+    firsts = spans.groupBy("span").agg(F.min("doc").alias("m"), F.count("*").alias("copies"), F.min("v").alias("v"))  # a span's bytes settle its anchor
+    anchors = firsts.groupBy("v").agg(F.count("*").alias("spans"), F.sum("copies").alias("copies")).where("spans > 1 or copies > 1").drop("copies")
+    # A span that is alone with its anchor was let through by the filter for nothing.
+    known = staged(firsts.drop("copies").join(anchors, "v"), "known")
+    judged = spans.drop("v").join(known, "span").where("doc > m or spans > 1")
+    judged = staged(judged.select("v", "spans", "doc", "t", "lo", "n", (F.col("doc") > F.col("m")).alias("later")), "judged")
+    discard(spans, known)
+    later = judged.where("later").select("doc", "t", "lo", (F.col("lo") + F.col("n") + (least - 1)).cast("int").alias("hi"))
+    several = judged.where("not later").withColumn("chunks", F.ceil(F.col("spans") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("doc", "v"), F.col("chunks")).cast("int"))
+    text = _with_text(docs, several.select("v", "chunk", "chunks", "doc", "t", "lo", "n"))
     piece = text.select(F.xxhash64("s.v", "s.chunk").alias("route"), (F.col("s.chunks") > 1).alias("open"), "doc", "t", F.col("s.lo").alias("lo"), F.col("s.n").alias("n"), F.expr(f"substring(raw, s.lo + 1, s.n + {least - 1})").alias("bytes"))
     found = staged(_factors(piece, least), "factors")
     again = found.where("string is not null").select(F.xxhash64("string").alias("route"), F.lit(False).alias("open"), "doc", "t", "lo", F.lit(1).alias("n"), F.col("string").alias("bytes"))
@@ -250,6 +253,7 @@ def removed_intervals(docs: DataFrame, least: int = LEAST, gram: int = GRAM) ->
 
 def remove_repeats(docs: DataFrame, *, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """Of each row doc_id, n_bytes, removed (merged intervals of bytes) and kept (bytes)."""
+    bounded_batches(docs.sparkSession)
     all_rows = docs.select(F.col("doc_id").cast("long").alias("doc"), "text", F.xxhash64("text").alias("t"))
     named = all_rows.where("doc is not null")
     intervals = staged(removed_intervals(named, least, gram), "intervals")
