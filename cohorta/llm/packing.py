@@ -24,12 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohorta.llm.common import concat_ranges
+from cohorta.llm.common import bounded_batches, concat_ranges
 from cohorta.llm.tokens import read_tokenizer, text_ids
 
 WINDOW, END_ID = 4096, 2
 #: Most token ids of one shard; a longer document is a shard of its own.
-SHARD_TOKENS = 6_000_000
+SHARD_TOKENS = 3_000_000
 #: Query terms of a seed: those of highest BM25 weight.
 QUERY_TERMS = 24
 K1, B = 1.2, 0.75
@@ -135,6 +135,7 @@ def pack_shard(ids: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, i
 
 def pack(docs: DataFrame, *, tokenizer: str | None = None, window: int = WINDOW, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Pieces: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32 bits)."""
+    bounded_batches(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer))
 
     def run(batches):
@@ -147,8 +148,8 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, window: int = WINDOW,
             nonlocal sequences
             ids = [x for _, x in shard]
             pieces = pack_shard(ids, window)
-            for low in range(0, len(pieces), 4096):
-                d, s, n, q, o = (np.array(x, np.int64) for x in zip(*pieces[low : low + 4096]))
+            for low in range(0, len(pieces), 1024):
+                d, s, n, q, o = (np.array(x, np.int64) for x in zip(*pieces[low : low + 1024]))
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": pa.array([shard[i][0] for i in d.tolist()], pa.int64()), "start": s, "length": n,
                     "doc_tokens": np.array([len(ids[i]) for i in d.tolist()], np.int64), "sequence_id": q + sequences + base, "offset": o,

@@ -43,7 +43,7 @@ def _byte_letters() -> dict[int, str]:
 class _Pieces(dict):
     """Ids of pieces of text, worked out once; the least recent half is dropped in turn."""
 
-    HALF = 750_000
+    HALF = 600_000
 
     def __init__(self, model, dtype):
         super().__init__()
