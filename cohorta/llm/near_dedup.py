@@ -18,8 +18,8 @@
 * A link: 100 * intersection >= 85 * union (a parameter, in hundredths).
 * Rows that share a doc_id count as one document with several texts. A row whose doc_id is
   null has a null component and is kept.
-* A link at the very threshold fails to share a band once in two million times (25 bands of
-  five rows, similarity 0.85) and is pruned with a probability of about ``MISS``.
+* A link at the very threshold fails to share a band with a probability below ``MISS`` (at 0.85
+  25 bands of five rows: 4e-7; at 0.80 30 bands: 7e-6) and is pruned with one of about ``MISS``.
 * One row comes back for each input row; columns other than doc_id and text are not read.
 """
 
@@ -55,7 +55,16 @@ def least_matches(threshold: float, n: int, miss: float) -> int:
     return n
 
 
-def _signatures(docs: DataFrame) -> DataFrame:
+def band_hashes(hundredths: int, miss: float) -> int:
+    """``HASHES``, or as many more, in whole batches, as let a pair at the threshold miss all bands below ``miss``."""
+    bands = math.log(miss) / math.log(1 - (hundredths / 100) ** ROWS) if hundredths < 100 else 1
+    hashes = max(HASHES, BATCH * math.ceil(ROWS * math.ceil(bands) / BATCH))
+    if hashes > LONG:
+        raise ValueError(f"{hashes} hashes for {hundredths} hundredths, {LONG} at most")
+    return hashes
+
+
+def _signatures(docs: DataFrame, hashes: int) -> DataFrame:
     def run(batches):
         made = Shingles()
         for batch in batches:
@@ -65,16 +74,16 @@ def _signatures(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column(0), "n_shingles": pa.array([len(x) for x in sets], pa.int64()),
                     "k1": pa.array([k for k, _ in keys], pa.int64()), "k2": pa.array([k for _, k in keys], pa.int64()),
-                    "sig": pa.array([signature(x).tobytes() if len(x) else None for x in sets], pa.binary()),
+                    "sig": pa.array([signature(x, hashes).tobytes() if len(x) else None for x in sets], pa.binary()),
                 })
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sig binary")
 
 
-def _bands(classes: DataFrame) -> DataFrame:
+def _bands(classes: DataFrame, hashes: int) -> DataFrame:
     """(bucket, band, rep) for each band of each class; bucket: a hash of band and rows."""
     row = lambda j: F.substring("sig", 1 + 4 * ROWS * j, 4 * ROWS)
-    keys = F.array(*[F.xxhash64(F.lit(j), row(j)) for j in range(HASHES // ROWS)])
+    keys = F.array(*[F.xxhash64(F.lit(j), row(j)) for j in range(hashes // ROWS)])
     return classes.select("rep", F.posexplode(keys).alias("band", "bucket"))
 
 
@@ -91,9 +100,10 @@ def _by_block(members: DataFrame) -> DataFrame:
     return both.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other", "blocks")
 
 
-def _survivors(members: DataFrame, forest: bool, hundredths: int, miss: float, hashes: int = HASHES) -> DataFrame:
+def _survivors(members: DataFrame, forest: bool, hundredths: int, miss: float, banded: int, hashes: int) -> DataFrame:
     """Pairs (a, b) of classes whose signatures survive; forest: a spanning forest of them.
 
+    Of ``hashes`` in a signature the first ``banded`` make the bands.
     members: bucket, band, rep, n, sig, component, low, high, block.
     """
     threshold = hundredths / 100
@@ -116,7 +126,7 @@ def _survivors(members: DataFrame, forest: bool, hundredths: int, miss: float, h
                 i, j, m = i[keep], j[keep], m[keep]
             # A pair belongs to the first band that both are in, and so comes up once.
             if len(i):
-                mine = (ls[i, :HASHES] == rs[j, :HASHES]).reshape(len(i), -1, ROWS).all(axis=2).argmax(axis=1) == band
+                mine = (ls[i, :banded] == rs[j, :banded]).reshape(len(i), -1, ROWS).all(axis=2).argmax(axis=1) == band
                 yield i[mine], j[mine], m[mine]
 
     def run(batches):
@@ -216,12 +226,13 @@ def _verified(docs: DataFrame, pairs: DataFrame, hundredths: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, hundredths: int = HUNDREDTHS, miss: float = MISS) -> DataFrame:
     """Of each input row doc_id, n_shingles, component_id (smallest doc_id reachable) and kept."""
     bounded_batches(docs.sparkSession)
-    all_rows = staged(_signatures(docs), "signatures")
+    hashes = band_hashes(hundredths, miss)
+    all_rows = staged(_signatures(docs, hashes), "signatures")
     named = all_rows.where("doc_id is not null and k1 is not null")
     classes = staged(named.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
-    crowded = staged(_crowded(_bands(classes)).join(classes.select("rep", "n", "sig"), "rep"), "buckets")
+    crowded = staged(_crowded(_bands(classes, hashes)).join(classes.select("rep", "n", "sig"), "rep"), "buckets")
 
-    first = staged(_survivors(crowded.withColumn("component", F.col("rep")), True, hundredths, miss), "forest")
+    first = staged(_survivors(crowded.withColumn("component", F.col("rep")), True, hundredths, miss, hashes, hashes), "forest")
     links = staged(_verified(docs, first, hundredths), "links")
     found = staged(components(links), "components")
     labelled = crowded.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -229,7 +240,7 @@ def near_duplicates(docs: DataFrame, *, hundredths: int = HUNDREDTHS, miss: floa
     open_rows = staged(labelled.join(apart, "bucket", "left_semi"), "apart")
     longer = staged(_long_signatures(docs, open_rows.select(F.col("rep").alias("id")).distinct(), LONG), "long")
     open_rows = open_rows.drop("sig").join(longer.select(F.col("id").alias("rep"), F.col("long").alias("sig")), "rep")
-    rest = staged(_survivors(open_rows, False, hundredths, miss, LONG).join(first, ["a", "b"], "left_anti"), "rest")
+    rest = staged(_survivors(open_rows, False, hundredths, miss, hashes, LONG).join(first, ["a", "b"], "left_anti"), "rest")
     more = staged(_verified(docs, rest, hundredths), "links")
     if not more.isEmpty():
         found = staged(components(found.select("node", "component").toDF("a", "b").union(more)), "components")

@@ -16,6 +16,8 @@ from cohorta.llm.near_dedup import near_duplicates
 from cohorta.llm.packing import pack
 from cohorta.llm.secrets import mask_secrets, scan_secrets, train
 
+#: Least similarity of near copies in the pipeline; op4's own threshold is 85.
+NEAR_HUNDREDTHS = 80
 #: No SQL: the stages learn models and compare signatures. Tests hold each against a brute-force version.
 ORACLE_SQL = None
 
@@ -30,8 +32,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of smallest id stays."""
-    gone = staged(near_duplicates(docs).where("not kept").select("doc_id"), "dropped").distinct()
+    """Of each group of near duplicates (similarity 0.8 or more) the document of smallest id stays."""
+    gone = staged(near_duplicates(docs, hundredths=NEAR_HUNDREDTHS).where("not kept").select("doc_id"), "dropped").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

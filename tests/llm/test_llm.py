@@ -326,3 +326,32 @@ def test_pipeline(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, SF)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+
+
+def groups_of(rows, hundredths):
+    """(id, smallest id reachable) by brute force over five-word shingles; every text has five words or more."""
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [lower(t).split()]}
+    root = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                common = len(sets[a] & sets[b])
+                if common and 100 * common >= hundredths * (len(sets[a]) + len(sets[b]) - common):
+                    root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def test_near_dedup_stage_drops_copies_from_80(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(11)
+    words, rows = [f"w{i}" for i in range(5000)], []
+    for k in range(30):
+        w = rng.choice(words, 104).tolist()
+        # 100 shingles; n at the end replaced: similarity (100 - n) / (100 + n), so 0.85, 0.82, 0.80 and 0.79.
+        rows += [(10 * k + n, " ".join(w[: 104 - cut] + [f"x{k}_{n}_{i}" for i in range(cut)])) for n, cut in enumerate((0, (8, 10, 11, 12)[k % 4]))]
+    df = frame(spark, rows, False)
+    stays = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()}
+    assert stays == {i for i, r in groups_of(rows, 80).items() if i == r} != {i for i, r in groups_of(rows, 85).items() if i == r}
+    assert (1 - 0.8**near_dedup.ROWS) ** (near_dedup.band_hashes(80, near_dedup.MISS) // near_dedup.ROWS) < near_dedup.MISS
+    assert near_dedup.band_hashes(85, near_dedup.MISS) == shingles.HASHES
