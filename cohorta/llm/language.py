@@ -9,6 +9,10 @@ language of largest cosine.
   text has a blank before and after. Letters above U+024F share 432 symbols by code point.
 * A text that is null, empty or without a letter has language ``und`` and score 0; so has every
   text if there is nothing to learn from.
+* ``known_language`` keeps the texts whose cosine reaches the floor of their language and length:
+  the least cosine of the labelled texts that got this language and have as many letters or
+  more, in powers of two. So labelled texts pass. Texts shorter than any labelled one, or of a
+  language that no labelled text got, have no floor. Without prototypes texts with a letter pass.
 * Ties go to the language that sorts first. Repeated rows count as often as they occur.
 * Input columns are kept; a result column takes the place of an input column of its name.
 """
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohorta.llm.common import bounded_batches, fold, kept
+from cohorta.llm.common import bounded_batches, fold, kept, staged
 
 DIM, NGRAM, SEED = 1024, 3, 20240501
 SYMBOLS = 1024
@@ -164,6 +168,33 @@ def identify_language(docs: DataFrame, prototypes: dict[str, np.ndarray], *, dim
     return docs.mapInArrow(judge, schema)
 
 
+def _size(text: Column) -> Column:
+    """The power of two that a text's letters reach."""
+    return F.floor(F.log2(F.greatest(F.length(F.regexp_replace(text, r"\P{L}", "")), F.lit(1)))).cast("int")
+
+
+def floors(judged: DataFrame) -> dict[str, list[float]]:
+    """Of each language the least cosine a text must have, by size; judged: rows of text, lang and what was found."""
+    labelled = judged.where((F.col("lang_pred") != UNKNOWN) & F.col("lang").isNotNull())
+    least: dict[str, dict[int, float]] = {}
+    for r in labelled.groupBy("lang_pred", _size(F.col("text")).alias("size")).agg(F.min("lang_cosine").alias("least")).collect():  # languages times 31 rows at most
+        least.setdefault(r["lang_pred"], {})[r["size"]] = r["least"]
+    # A size's floor is the least of its own and all larger sizes; sizes above the largest take its floor.
+    return {g: [min((x for s, x in own.items() if s >= size), default=own[max(own)]) if size >= min(own) else -1.0 for size in range(32)] for g, own in least.items()}
+
+
+def known_language(docs: DataFrame) -> DataFrame:
+    """The rows of docs (with text and lang) whose language can be told, by profiles of all labelled rows."""
+    prototypes = learn_languages(docs.select("text", "lang"))
+    if not prototypes:
+        return docs.where(F.col("text").rlike(r"[\p{L}\p{Nl}\p{No}]"))
+    judged = staged(identify_language(docs, prototypes), "judged")
+    rows = [(g, size, x) for g, own in floors(judged).items() for size, x in enumerate(own)]
+    least = F.broadcast(docs.sparkSession.createDataFrame(rows, "lang_pred string, _size int, _least double"))
+    passed = judged.withColumn("_size", _size(F.col("text"))).join(least, ["lang_pred", "_size"], "left")
+    return passed.where((F.col("lang_pred") != UNKNOWN) & (F.col("lang_cosine") >= F.coalesce("_least", F.lit(-1.0)))).select(*docs.columns)
+
+
 def held_out(doc_id: Column) -> Column:
     return fold(doc_id, 3) == 1
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cohorta.llm.common import staged
 from cohorta.llm.decontaminate import decontaminate, remove_documents
-from cohorta.llm.language import UNKNOWN, held_out, identify_language, learn_languages
+from cohorta.llm.language import known_language
 from cohorta.llm.near_dedup import near_duplicates
 from cohorta.llm.packing import pack
 from cohorta.llm.secrets import mask_secrets, scan_secrets, train
@@ -23,12 +23,8 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an identifiable language go: null texts and texts without a letter.
-
-    Prototypes are learnt from this stage's own rows, those held out for op10 left aside.
-    """
-    judged = identify_language(docs, learn_languages(docs.where(~held_out(F.col("doc_id"))).select("text", "lang")))
-    return judged.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    """Documents without an identifiable language go: no letter, or unlike all languages learnt from the labelled rows."""
+    return known_language(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

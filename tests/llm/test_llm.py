@@ -355,3 +355,27 @@ def test_near_dedup_stage_drops_copies_from_80(spark):
     assert stays == {i for i, r in groups_of(rows, 80).items() if i == r} != {i for i, r in groups_of(rows, 85).items() if i == r}
     assert (1 - 0.8**near_dedup.ROWS) ** (near_dedup.band_hashes(80, near_dedup.MISS) // near_dedup.ROWS) < near_dedup.MISS
     assert near_dedup.band_hashes(85, near_dedup.MISS) == shingles.HASHES
+
+
+def test_language_stage_decides_by_profiles(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rng = np.random.default_rng(1)
+    noise = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz    "), 800)) for _ in range(20)]
+    other = "日本語の文章を書くことはとても楽しいです。" * 20
+    odd = spark.createDataFrame([(10_000 + i, t, None, "s", len(t)) for i, t in enumerate([*noise, other])] + [(20_000, None, "en", "s", 0), (20_001, "12 --", "en", "s", 5)], docs.schema)
+    kept = corpus_pipeline.language(spark, docs.union(odd), SF)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in docs.collect())
+
+
+def test_language_stage_without_labels_keeps_texts(spark):
+    import corpus_pipeline
+
+    rows = [(1, "hello there", None, "s", 11), (2, "12 --", None, "s", 5), (3, None, None, "s", 0), (4, "", "en", "s", 0), (5, "é", None, "s", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language(spark, spark.createDataFrame(rows, schema), SF).collect()) == [1, 5]
+    # Labelled rows that op10 would hold out teach this stage.
+    df = spark.range(200).where(language.held_out(F.col("id"))).selectExpr("id AS doc_id", "'hello there you all' AS text", "'en' AS lang", "'s' AS source", "19L AS n_chars")
+    assert df.count() and corpus_pipeline.language(spark, df, SF).count() == df.count()
