@@ -5,9 +5,9 @@ labelled samples of all documents: what the patterns find is random, the rest is
 A token's log-likelihood ratio under the two decides.
 
 * Base kinds: assign, access, hex (see the patterns); a match that is too short is dropped
-  but still uses up its characters. Added kind: markov, for tokens of ``LEAST`` characters
-  or more that overlap no base span and whose ratio is at least ``BITS`` in all and
-  ``BITS_EACH`` a character.
+  but still uses up its characters. Added kind: markov, for tokens of any length that do
+  not lie wholly inside base spans and whose ratio is at least ``BITS`` in all and ``BITS_EACH``
+  a character.
 * Spans count code points, end exclusive. Null and empty texts have none.
 * Without any base match there is no model of random strings and nothing is added.
 * Repeated rows count as often as they occur; ties in start follow the order of kinds.
@@ -30,8 +30,6 @@ from cohorta.llm.common import bounded_batches, text_bytes
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-LEAST = 20
-TOKEN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 BITS, BITS_EACH = 30.0, 1.5
 KINDS = ("assign", "access", "hex", "markov")
 #: Characters a token can hold, and one symbol for all others (that ends a token).
@@ -96,19 +94,22 @@ def train(docs: DataFrame) -> np.ndarray | None:
 
 
 def added_spans(text: str, ratio: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    found = [m.span() for m in TOKEN.finditer(text)]
-    if not found:
-        return []
-    s = _SYMBOL[np.frombuffer(f" {' '.join(text[a:b] for a, b in found)} ".encode(), np.uint8)]
+    s = _SYMBOL[np.minimum(np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32), 255)]
+    edge = np.flatnonzero((s[1:] > 0) != (s[:-1] > 0))
+    first, last = edge[::2] + 1, edge[1::2]  # of each token, the blank in front counted
     bits = np.concatenate(([0.0], np.cumsum(ratio[s[:-1], s[1:]])))
-    out, at = [], 1
-    for a, b in found:
-        n = b - a
-        total = bits[at + n - 1] - bits[at]  # the pairs within the token
-        if total >= BITS and total >= BITS_EACH * (n - 1) and not any(x < b and a < y for x, _, y in base):
-            out.append((a, 3, b))
-        at += n + 1
-    return out
+    total = bits[last] - bits[first]  # the pairs within the token
+    ok = (total >= BITS) & (total >= BITS_EACH * (last - first))
+    found = [(a - 1, 3, b) for a, b in zip(first[ok].tolist(), last[ok].tolist())]
+    return [t for t in found if not _inside(t[0], t[2], base)]
+
+
+def _inside(start: int, end: int, base: list[tuple[int, int, int]]) -> bool:
+    """Whether the spans, in order of start, cover all from start to end."""
+    for a, _, b in base:
+        if a <= start < b:
+            start = b
+    return start >= end
 
 
 def scan_secrets(docs: DataFrame, ratio: np.ndarray | None) -> DataFrame:

@@ -379,3 +379,22 @@ def test_language_stage_without_labels_keeps_texts(spark):
     # Labelled rows that op10 would hold out teach this stage.
     df = spark.range(200).where(language.held_out(F.col("id"))).selectExpr("id AS doc_id", "'hello there you all' AS text", "'en' AS lang", "'s' AS source", "19L AS n_chars")
     assert df.count() and corpus_pipeline.language(spark, df, SF).count() == df.count()
+
+
+def test_secrets_partly_covered_and_short(spark):
+    hexes = [hashlib.md5(str(i).encode()).hexdigest() for i in range(60)]
+    # Keys of both cases and digits, so that these are random too.
+    rng = np.random.default_rng(8)
+    key = lambda n: "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), n))
+    rows = [(i, f"plain words of ordinary text and more of it Passwd = '{h if i % 2 else key(32)}' then") for i, h in enumerate(hexes)]
+    long = f"Xq7Zw9KpR2{hexes[0][:26]}Vt4Ls8MnB3"
+    access = "AKIA" + "Q7" * 8 + "x9q2z7k4w8"
+    rows += [(100, f"see {long} here"), (101, f"é see {access} here"), (102, "see 3f9c2b7e1d8a4f6b0c5 here"), (103, f"token={hexes[1]} of ordinary text")]
+    df = frame(spark, rows, False)
+    prose = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    scanned = secrets.scan_secrets(df, secrets.train(df.union(prose)))
+    masked = {r["doc_id"]: r["text"] for r in secrets.mask_secrets(scanned).collect()}
+    assert masked[100] == "see [secret] here" and masked[101] == "é see [secret] here" and masked[102] == "see [secret] here"
+    assert masked[103] == "[secret] of ordinary text"
+    found = {r["doc_id"]: [s["kind"] for s in r["secrets"]] for r in scanned.collect()}
+    assert found[100] == ["markov", "hex"] and found[101] == ["access", "markov"] and found[103] == ["assign", "hex"]
