@@ -57,16 +57,18 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    """Distinct tokens of a URL: host, its last two and last labels, path parts by place, keys of the query."""
+    """Distinct tokens of a URL: host, its last label, its last two labels and up, all path parts by place, all keys of the query."""
     part = lambda s: F.regexp_replace(s, "[0-9]+", "0")
     labels = F.split(host, r"\.")
+    domain = lambda i: F.concat(F.lit("domain "), F.array_join(F.slice(labels, i, F.size(labels)), "."))
     pieces = F.filter(F.split(path, "/"), lambda s: s != "")
     asked = F.regexp_extract(url, r"\?([^#]*)", 1)
     keys = F.filter(F.split(asked, "&"), lambda s: s != "")
     return F.array_distinct(F.concat(
         F.when(host == "", F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("host "), host), F.concat(F.lit("top "), F.element_at(labels, -1)))),
-        F.slice(F.transform(pieces, lambda s, i: F.concat(F.lit("path"), i.cast("string"), F.lit(" "), part(s))), 1, 4),
-        F.slice(F.transform(keys, lambda s: F.concat(F.lit("key "), F.element_at(F.split(s, "="), 1))), 1, 4),
+        F.when(F.size(labels) > 1, F.transform(F.sequence(F.lit(1), F.size(labels) - 1), domain)).otherwise(F.array().cast("array<string>")),
+        F.transform(pieces, lambda s, i: F.concat(F.lit("path"), i.cast("string"), F.lit(" "), part(s))),
+        F.transform(keys, lambda s: F.concat(F.lit("key "), F.element_at(F.split(s, "="), 1))),
     ))
 
 

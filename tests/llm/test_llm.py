@@ -398,3 +398,19 @@ def test_secrets_partly_covered_and_short(spark):
     assert masked[103] == "[secret] of ordinary text"
     found = {r["doc_id"]: [s["kind"] for s in r["secrets"]] for r in scanned.collect()}
     assert found[100] == ["markov", "hex"] and found[101] == ["access", "markov"] and found[103] == ["assign", "hex"]
+
+
+def test_url_tokens_are_whole(spark):
+    deep = [(i, f"http://s{i}.example.net/{'/'.join('abcde')}/{'bad' if i % 2 else 'good'}?k1=&k2=&k3=&k4=&k5=") for i in range(400)]
+    # The fixed rules label by the first 200 hosts' sixth path part, told apart nowhere else.
+    rules = [("block" if i % 2 else "allow", f"s{i}.example.net", "/") for i in range(200)]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(deep, "page_id long, url string"), rules=rules, support=0.3).collect()}
+    assert all(got[i] == ("block" if i % 2 else "allow") for i, _ in deep)
+    # Pages of one domain, each host alone below the support; the rest of the address tells nothing.
+    spam = [(i, f"http://s{i}.{'spam.net' if i % 2 else 'fine.net'}/p") for i in range(400)]
+    rules = [("block" if i % 2 else "allow", f"s{i}.{'spam.net' if i % 2 else 'fine.net'}", "/") for i in range(200)]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(spam, "page_id long, url string"), rules=rules, support=0.3).collect()}
+    assert all(got[i] == ("block" if i % 2 else "allow") for i, _ in spam)
+    u = F.lit("http://x.y.example.net/a/b/c/d/e/f?k1&k2&k3&k4&k5")
+    one = spark.range(1).select(url_filter.tokens(u, *url_filter.host_and_path(u)).alias("t")).first()["t"]
+    assert {"domain example.net", "domain y.example.net", "domain x.y.example.net", "path5 f", "key k5", "top net", "host x.y.example.net"} <= set(one) and len(one) == 16
