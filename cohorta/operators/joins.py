@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -180,13 +182,35 @@ def whole_hour_repair(recordings: DataFrame, start: str, length: str, session_st
     return recordings.withColumn("shift_h", F.when(best["o"] > 0, best["h"]).otherwise(0))
 
 
-def fuzzy_match(left: DataFrame, right: DataFrame, a: str, b: str, cutoff: float = 0.8) -> DataFrame:
-    """The closest right name of each left name with the same first letter, by edit distance.
+def _shared_pieces(l: DataFrame, r: DataFrame, cutoff: float) -> DataFrame:
+    """Pairs (_a, _b) of names among which are all that reach the cutoff.
 
-    similarity = 1 - distance / longer length, at least ``cutoff``; ties go to the smaller name.
+    A right name of n letters has at most k = n (1 - cutoff) / cutoff edits to such a left name,
+    so one of its k + 1 pieces is left whole, moved by k places at most.
+    """
+    n, edits = F.length("_b"), F.floor(F.length("_b") * ((1 - cutoff) / cutoff) + 1e-9).cast("int")
+    start = lambda i: F.floor(i * n / (edits + 1)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), edits), lambda i: F.struct(start(i).alias("y"), F.substr("_b", start(i) + 1, start(i + 1) - start(i)).alias("piece")))
+    pieces = r.select("_b").distinct().select("_b", edits.alias("k"), F.inline(cut))
+    m, longest = F.length("_a"), math.ceil(cutoff / (1 - cutoff) - 1e-9)
+    sizes = F.when(m > 0, F.sequence(F.lit(1), F.least(m, F.lit(longest)))).otherwise(F.array(F.lit(0)))
+    within = F.flatten(F.transform(sizes, lambda s: F.transform(F.sequence(F.lit(0), m - s), lambda x: F.struct(x.alias("x"), F.substr("_a", x + 1, s).alias("piece")))))
+    parts = l.select("_a").distinct().select("_a", F.inline(within))
+    fits = F.least(m, n) >= cutoff * F.greatest(m, n) - 1e-9
+    return parts.join(pieces, "piece").where(fits & (F.abs(F.col("x") - F.col("y")) <= F.col("k"))).select("_a", "_b").distinct()
+
+
+def fuzzy_match(left: DataFrame, right: DataFrame, a: str, b: str, cutoff: float = 0.8, same_first: bool = False) -> DataFrame:
+    """The closest right name of each left name by edit distance; same_first: of those with its first letter.
+
+    similarity = 1 - distance / longer length, at least ``cutoff`` (below 1); ties go to the smaller name.
     """
     name = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
     l, r = left.withColumn("_a", name(F.col(a))), right.withColumn("_b", name(F.col(b)))  # noqa: E741
-    hit = l.join(r, F.substring("_a", 1, 1) == F.substring("_b", 1, 1)).withColumn("similarity", 1 - F.levenshtein("_a", "_b") / F.greatest(F.length("_a"), F.length("_b"), F.lit(1)))
+    if same_first:
+        met = l.join(r, F.substring("_a", 1, 1) == F.substring("_b", 1, 1))
+    else:
+        met = l.join(_shared_pieces(l, r, cutoff), "_a").join(r, "_b")
+    hit = met.withColumn("similarity", 1 - F.levenshtein("_a", "_b") / F.greatest(F.length("_a"), F.length("_b"), F.lit(1)))
     best = F.row_number().over(Window.partitionBy(a).orderBy(F.col("similarity").desc(), b))
     return hit.where(F.col("similarity") >= cutoff).withColumn("_n", best).where("_n = 1").drop("_n", "_a", "_b")

@@ -65,6 +65,15 @@ def drift_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("participant", "n", F.round("clock0", 6).alias("clock0"), F.round("slope", 9).alias("slope"), F.round("base", 5).alias("base"))
 
 
+@query(_with(CLOCKS_SQL, "l AS (SELECT participant, c, c - m AS d FROM clocks)",
+  "f AS (SELECT participant, count(*) AS n, min(c) AS clock0, quantile_cont(d, 0.5) AS mid, regr_slope(d, c) AS s, avg(d) AS ad, avg(c) AS ac FROM l GROUP BY ALL HAVING count(*) >= 10)")
+  + " SELECT participant, n, round(clock0, 6) AS clock0, round(CASE WHEN n >= 20 THEN s ELSE 0 END, 9) AS slope, round(CASE WHEN n >= 20 THEN ad - s * (ac - clock0) ELSE mid END, 5) AS base FROM f")
+def drift_anchors_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all samples of a user; ``drift_anchors`` takes the first 10 to 29, as its SQL does."""
+    a = clock.drift_anchor(_clocks(spark, sf_dir), ["participant"], "c", "m")
+    return a.select("participant", "n", F.round("clock0", 6).alias("clock0"), F.round("slope", 9).alias("slope"), F.round("base", 5).alias("base"))
+
+
 @query(_with("h AS (SELECT participant, event_id % 2 AS src, stddev_pop(x) AS rmse, count(*) AS n FROM samples GROUP BY ALL)")
   + " SELECT participant, CAST(src + 1 AS INTEGER) AS source, n, round(rmse, 9) AS rmse FROM h QUALIFY row_number() OVER (PARTITION BY participant ORDER BY rmse, src) = 1")
 def better_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:

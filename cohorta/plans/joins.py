@@ -171,9 +171,17 @@ def whole_hour_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 h AS (SELECT a, b, 1 - levenshtein(lower(a), lower(b)) / greatest(length(a), length(b), 1) AS similarity FROM l JOIN r ON lower(a[1]) = lower(b[1]))
 SELECT a, b, round(similarity, 9) AS similarity FROM h WHERE similarity >= 0.8 QUALIFY row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) = 1""")
 def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names against a roster of respelled ones."""
+    """Part names against a third of the respelled ones, by first letter as its SQL; see ``fuzzy_match_whole``."""
     p = table(spark, sf_dir, "part")
     left, right = p.select(F.col("p_name").alias("a")).distinct(), p.where("p_partkey % 3 = 0").select(F.concat("p_name", F.lit("s")).alias("b")).distinct()
+    return j.fuzzy_match(left, right, "a", "b", same_first=True).select("a", "b", F.round("similarity", 9).alias("similarity"))
+
+
+@query()
+def fuzzy_match_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names against all respelled ones, whatever their first letters. All pairs would be slow in SQL."""
+    p = table(spark, sf_dir, "part")
+    left, right = p.select(F.col("p_name").alias("a")).distinct(), p.select(F.concat("p_name", F.lit("s")).alias("b")).distinct()
     return j.fuzzy_match(left, right, "a", "b").select("a", "b", F.round("similarity", 9).alias("similarity"))
 
 

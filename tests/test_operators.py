@@ -138,3 +138,45 @@ def test_reset_monitor(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.table("resets").collect()] == [("a", 3, 5.0, 1.0)]
+
+
+def test_fuzzy_match_meets_every_pair_at_the_cutoff(spark):
+    import random
+
+    from cohorta.operators import joins as j
+
+    def distance(s, t):
+        row = list(range(len(t) + 1))
+        for i, x in enumerate(s, 1):
+            last, row[0] = row[0], i
+            for k, y in enumerate(t, 1):
+                last, row[k] = row[k], min(row[k] + 1, row[k - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rnd = random.Random(6)
+    right = ["catherine", "", "a", "abcde"] + ["".join(rnd.choices("abc", k=rnd.randint(1, 24))) for _ in range(120)]
+    left = ["katherine", "", "a", "xbcde"]
+    for b in right[4:]:
+        w = list(b)
+        for _ in range(rnd.randint(0, max(1, len(b) // 4))):
+            at = rnd.randrange(len(w) + 1)
+            w[at : at + rnd.randint(0, 1)] = rnd.choice(["", "a", "z"])
+        left.append("".join(w))
+    want = {}
+    for a in set(left):
+        near = [(-(1 - distance(a, b) / max(len(a), len(b), 1)), b) for b in set(right)]
+        if (best := min(near))[0] <= -0.8:
+            want[a] = (best[1], round(-best[0], 9))
+    l = spark.createDataFrame([(x,) for x in sorted(set(left))], "a string")  # noqa: E741
+    r = spark.createDataFrame([(x,) for x in sorted(set(right))], "b string")
+    got = {x["a"]: (x["b"], round(x["similarity"], 9)) for x in j.fuzzy_match(l, r, "a", "b").collect()}
+    assert got == want and got["katherine"][0] == "catherine" and got["xbcde"][0] == "abcde"
+
+
+def test_drift_anchor_of_short_and_long_streams(spark):
+    from cohorta.operators import clock
+
+    rows = [(p, float(t), t - 0.01 * t - 5) for p, n in ((1, 9), (2, 10), (3, 19), (4, 20), (5, 67)) for t in range(n)]
+    got = {r["p"]: r for r in clock.drift_anchor(spark.createDataFrame(rows, "p int, c double, m double"), ["p"], "c", "m").collect()}
+    assert sorted((p, r["n"]) for p, r in got.items()) == [(2, 10), (3, 19), (4, 20), (5, 67)]
+    assert got[3]["slope"] == 0 and abs(got[3]["base"] - 5.09) < 1e-9 and abs(got[5]["slope"] - 0.01) < 1e-9 and abs(got[5]["base"] - 5) < 1e-9
