@@ -30,8 +30,8 @@ from cohorta.llm.tokens import read_tokenizer, text_ids
 WINDOW, END_ID = 4096, 2
 #: Most token ids of one shard; a longer document is a shard of its own.
 SHARD_TOKENS = 3_000_000
-#: Query terms of a seed: those of highest BM25 weight.
-QUERY_TERMS = 24
+#: A term in more than one of so many documents of a shard is held as a dense row of weights.
+COMMON = 8
 K1, B = 1.2, 0.75
 
 
@@ -54,22 +54,26 @@ class Index:
         df = np.bincount(term, minlength=int(term.max()) + 1)
         idf = np.log1p((self.n - df + 0.5) / (df + 0.5)).astype(np.float32)
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (length / length.mean())[doc]))
-        self.term, self.weight = term, weight
+        self.term = term
         order = np.argsort(term, kind="stable")
         self.doc, self.by_term = doc[order], weight[order]
         self.start = np.concatenate(([0], np.cumsum(df)))
         self.df = df
+        common = np.flatnonzero(df * COMMON > self.n)
+        self.row = np.full(len(df), -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.n), np.float32)
+        place = concat_ranges(self.start[common], df[common])
+        self.dense[np.repeat(np.arange(len(common)), df[common]), self.doc[place]] = self.by_term[place]
 
     def near(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """The unused documents that share a query term with the seed, best first."""
-        low, high = self.at[seed], self.at[seed + 1]
-        term, weight = self.term[low:high], self.weight[low:high]
-        ok = self.df[term] > 1
-        term, weight = term[ok], weight[ok]
-        if len(term) > QUERY_TERMS:
-            term = term[np.argpartition(-weight, QUERY_TERMS)[:QUERY_TERMS]]
-        place = concat_ranges(self.start[term], self.df[term])
+        """The unused documents that share a term with the seed, best first; every term of the seed counts."""
+        term = self.term[self.at[seed] : self.at[seed + 1]]
+        term = term[self.df[term] > 1]
+        rare = term[self.row[term] < 0]
+        place = concat_ranges(self.start[rare], self.df[rare])
         score = np.bincount(self.doc[place], self.by_term[place], self.n)
+        score = score + self.dense[self.row[term[self.row[term] >= 0]]].sum(axis=0)
         score[used] = 0
         found = np.flatnonzero(score)
         return found[np.argsort(-score[found], kind="stable")]

@@ -414,3 +414,20 @@ def test_url_tokens_are_whole(spark):
     u = F.lit("http://x.y.example.net/a/b/c/d/e/f?k1&k2&k3&k4&k5")
     one = spark.range(1).select(url_filter.tokens(u, *url_filter.host_and_path(u)).alias("t")).first()["t"]
     assert {"domain example.net", "domain y.example.net", "domain x.y.example.net", "path5 f", "key k5", "top net", "host x.y.example.net"} <= set(one) and len(one) == 16
+
+
+def test_packing_scores_every_term():
+    rng = np.random.default_rng(9)
+    ids = [rng.integers(10, 400, rng.integers(1, 300)).astype(np.uint16) for _ in range(60)]
+    index = packing.Index(ids)
+    n, mean = len(ids), np.mean([len(x) for x in ids])
+    df = {t: sum(t in x for x in map(set, ids)) for t in range(400)}
+    for seed in range(0, 60, 7):
+        score = np.zeros(n)
+        for d, x in enumerate(ids):
+            for t in set(ids[seed].tolist()) & set(x.tolist()):
+                tf = (x == t).sum()
+                score[d] += np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(x) / mean))
+        got = index.near(seed, np.array([seed]))
+        want = [d for d in np.argsort(-score, kind="stable") if d != seed and score[d] > 0]
+        assert set(got.tolist()) == set(want) and np.allclose(score[got], score[want], rtol=1e-4)
