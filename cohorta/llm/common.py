@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-import itertools
+import ctypes
+import functools
+import hashlib
 import os
+import re
 import tempfile
 import uuid
 
@@ -17,21 +20,24 @@ LOWER = bytes(b + 32 if b in _A_TO_Z else b for b in range(256))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    That is ``spark.checkpoint.dir``. Where it is unset, a local master gets a temporary
-    folder and any other master its warehouse: a cluster never gets a machine-local one.
+    Where it is unset, a local master gets a temporary folder of its own; a cluster without
+    one is an error, since no folder of one machine would do.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        if spark.sparkContext.master.startswith("local["):
-            where = tempfile.mkdtemp(prefix="cohorta-")
-            spark.conf.set("spark.checkpoint.dir", where)
-        else:
-            where = spark.conf.get("spark.sql.warehouse.dir")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="cohorta-")
+        spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+#: Bytes of a Parquet row group of intermediate tables: what a writing task holds in memory.
+GROUP_BYTES = 16 << 20
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -39,24 +45,57 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
 
 
 def discard(*written: DataFrame) -> None:
-    """Deletes the folders of staged frames that a later staged frame has made needless."""
+    """Deletes the folders of staged frames that no frame still to be run reads."""
     for df in written:
-        spark = df.sparkSession
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000, most_bytes: int = 4 << 20) -> None:
+    """Rows reach Python in batches of at most ``rows`` rows and about ``most_bytes`` bytes.
+
+    So a task's memory stays small whatever its texts (one text at least is a batch). These are
+    settings of the session and hold when a frame is run, so they stay after the operator
+    has returned; smaller ones that the caller has set are left alone.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", most_bytes), ("spark.sql.parquet.columnarReaderBatchSize", rows)):
+        digits = re.sub(r"\D", "", spark.conf.get(key))
+        if not digits or not 0 < int(digits) <= most:
+            spark.conf.set(key, str(most))
+
+
+@functools.cache
+def _trim():
+    """glibc's malloc_trim, or nothing on systems without it."""
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
+
 
+def lean(run):
+    """A ``mapInArrow`` function whose worker gives its free memory back when a task ends.
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts reach Python in batches of at most ``rows`` rows, so a task's memory stays small."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
+    Spark keeps Python workers for later tasks and stages; without this each of them holds
+    the most that any of its tasks ever needed.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            _trim()(0)
+
+    return wrapped
 
 
 _KEPT: dict = {}
@@ -115,40 +154,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def byte_values(seed: int) -> np.ndarray:
-    """256 random odd 64-bit values, one for each byte."""
-    return np.random.default_rng(seed).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+def digest(data: bytes) -> int:
+    """A signed 64-bit number from a cryptographic hash of the bytes."""
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
-class PrefixHash:
-    """Hashes of any substrings of a buffer in constant time each.
-
-    ``sum(v[b[j]] * base**j)`` modulo 2**64; dividing by ``base**start`` makes it
-    independent of place. Powers are kept for the longest buffer seen.
-    """
+class WordNumbers(dict):
+    """64-bit numbers of words, each from a cryptographic hash of its bytes, worked out once."""
 
-    def __init__(self, seed: int = 7):
-        self.values = byte_values(seed)
-        self.base = 0x9E3779B97F4A7C15 | 1
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
+    MOST = 200_000
 
-    def powers(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, 1 << 16)
-            for name, b in (("up", self.base), ("down", self.inverse)):
-                p = np.full(n, b, np.uint64)
-                p[0] = 1
-                setattr(self, name, np.multiply.accumulate(p))
-
-    def prefix(self, raw: np.ndarray) -> np.ndarray:
-        self.powers(len(raw) + 1)
-        out = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(self.values[raw] * self.up[: len(raw)], out=out[1:])
-        return out
-
-    def of(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((prefix[end] - prefix[start]) * self.down[start])
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        n = self[word] = digest(word)
+        return n
 
 
 def arrow_rows(batches, work, out_schema: pa.Schema, most_bytes: int = 2 << 20, column: str = "text"):
@@ -175,12 +195,6 @@ def concat_ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(first - start, length)
 
 
-def chunks(it, n: int):
-    it = iter(it)
-    while part := list(itertools.islice(it, n)):
-        yield part
-
-
 def quiet_threads() -> None:
     """One task has one core: native libraries start no threads of their own."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

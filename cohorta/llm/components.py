@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohorta.llm.common import staged
+from cohorta.llm.common import discard, staged
 
 
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
@@ -31,11 +31,13 @@ def components(pairs: DataFrame) -> DataFrame:
     the size of the largest component.
     """
     now = staged(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u != v").distinct(), "pairs")
-    before = None
-    while True:
-        print_of = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if print_of == before or not print_of[0]:
+    size = now.count()
+    while size:
+        new = staged(_star(_star(now, True), False), "stars")
+        same = new.count() == size and new.join(now, ["u", "v"], "left_anti").isEmpty()  # both are sets
+        discard(now)
+        now = new
+        if same:
             break
-        before = print_of
-        now = staged(_star(_star(now, True), False), "stars")
+        size = now.count()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

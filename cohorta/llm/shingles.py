@@ -4,55 +4,57 @@ from __future__ import annotations
 
 import numpy as np
 
-from cohorta.llm.common import LOWER, PrefixHash, mix, text_bytes
+from cohorta.llm.common import LOWER, WordNumbers, mix, text_bytes
 
 WORDS, HASHES = 5, 125
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_LOWER = np.frombuffer(LOWER, np.uint8)
 _SEEDS = np.random.default_rng(1125).integers(1, 1 << 63, (3, 1024), np.uint64)
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z."""
+    return text.encode().translate(LOWER).split() if text else []
+
+
+def exact_set(text: str | None, words: int = WORDS) -> set[tuple[bytes, ...]]:
+    """The distinct shingles themselves; a text of fewer words is one shingle, none without words."""
+    w = words_of(text)
+    return set(zip(*(w[j:] for j in range(words)))) if len(w) >= words else {tuple(w)} if w else set()
+
+
 class Shingles:
     """Of each row the sorted distinct 64-bit hashes of its ``words``-word shingles."""
 
     def __init__(self, words: int = WORDS):
-        self.words, self.hash = words, PrefixHash(31)
+        self.words, self.numbers = words, WordNumbers()
         self.place = mix(np.arange(1, words + 1, dtype=np.uint64)) | np.uint64(1)
 
     def sets(self, column) -> list[np.ndarray]:
         raw, start, end = text_bytes(column)
-        if not len(start):
-            return []
-        raw = _LOWER[raw]
-        word = np.zeros(len(raw) + 2, bool)
-        word[1:-1] = ~_SPACE[raw]
-        edge = np.diff(word.astype(np.int8))
-        cut = np.zeros(len(raw) + 1, bool)  # a row's end also ends a word
-        cut[start], cut[end] = True, True
-        cut[1:-1] &= word[1:-2] & word[2:-1]
-        inner = np.flatnonzero(cut[1:-1]) + 1 if len(raw) > 1 else np.zeros(0, np.int64)
-        first = np.sort(np.concatenate((np.flatnonzero(edge == 1), inner)))
-        last = np.sort(np.concatenate((np.flatnonzero(edge == -1), inner)))
-        h = self.hash.of(self.hash.prefix(raw), first, last)
-        low, high = np.searchsorted(first, start, "left"), np.searchsorted(first, end, "left")
+        raw = raw.tobytes().translate(LOWER)
+        number, flat, sizes = self.numbers.__getitem__, [], []
+        for a, b in zip(start.tolist(), end.tolist()):
+            w = raw[a:b].split()
+            flat += map(number, w)
+            sizes.append(len(w))
+        h = np.array(flat, np.int64).view(np.uint64)
         n = len(h) - self.words + 1
         five = np.zeros(max(n, 0), np.uint64)
         for j in range(self.words):
             five += h[j : j + n] * self.place[j] if n > 0 else np.uint64(0)
         five = mix(five)
-        out = []
-        for a, b in zip(low.tolist(), high.tolist()):
-            if b - a >= self.words:
-                x = np.sort(five[a : b - self.words + 1])
+        out, a = [], 0
+        for size in sizes:
+            if size >= self.words:
+                x = np.sort(five[a : a + size - self.words + 1])
                 out.append(x[np.concatenate(([True], x[1:] != x[:-1]))])
-            elif b > a:
-                short = mix(np.array([b - a], np.uint64))
-                for j in range(b - a):
+            elif size:
+                short = mix(np.array([size], np.uint64))
+                for j in range(size):
                     short = mix(short + h[a + j : a + j + 1] * self.place[j])
                 out.append(short)
             else:
                 out.append(np.zeros(0, np.uint64))
+            a += size
         return out
 
 

@@ -1,11 +1,11 @@
 """Suffix-order deduplication: later copies of long byte strings go, the first one stays.
 
 A byte is removed if a string of ``LEAST`` bytes that covers it also starts in a document of
-smaller id. What decides is, for each place, whether its longest previous factor (the
-longest match that starts in an earlier document) has ``LEAST`` bytes. In suffix order,
-with equal prefixes ordered by document, the previous smaller position of a later copy
-lies in its own run of common prefixes of ``LEAST``, so one pass over the sorted suffixes
-gives these factors, cut off at ``LEAST``.
+smaller id. What decides is, for each start, whether its longest previous factor (the
+longest match that starts in an earlier document) has ``LEAST`` bytes. In suffix order
+the longest match with an earlier document stands at the previous or at the next smaller
+position, a position's value being its document; factors are cut off at ``LEAST``, so
+both are searched only within a run of suffixes whose common prefixes reach it.
 
 No suffix array spans the corpus. Each ``LEAST``-byte string is dealt by an anchor that
 its own bytes determine: the least hash of its ``GRAM``-byte substrings. So equal strings
@@ -13,11 +13,14 @@ always meet in one shard, and consecutive starts with one anchor travel as one s
 
 1. A pass finds anchors that occur in two documents and marks them in a bit set of fixed
    size; the second pass lets only spans with a marked anchor through (some others too).
-2. Equal spans are aggregated (map-side) to their first document: later ones are covered.
+2. Equal spans stand for one: they are aggregated (map-side, by a 128-bit cryptographic hash
+   of their bytes) to their first document, and every start of a later copy has a previous
+   factor as long as the span.
 3. Where an anchor has several different spans, the first document's copies of each meet in a
-   shard, which builds the suffix order of their starts. An anchor with many spans is dealt
-   to chunks of about ``CHUNK``; what has no earlier match in its chunk goes to a second
-   round, dealt by the string itself, with one row a chunk at most.
+   shard, which builds the suffix order of their starts, its LCP array and the longest
+   previous factors. An anchor with many spans is dealt to chunks of about ``CHUNK``; what has
+   no earlier match in its chunk goes to a second round, dealt by the string itself, with
+   one row a chunk at most.
 4. Covered intervals are merged by document. Documents without any never leave their split.
 
 * Texts are UTF-8 bytes, null is empty; matches never cross documents; texts shorter than
@@ -37,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohorta.llm.common import IdFilter, PrefixHash, bounded_batches, concat_ranges, discard, mix, slices, staged, text_bytes
+from cohorta.llm.common import IdFilter, bounded_batches, concat_ranges, discard, lean, mix, slices, staged, text_bytes
 
 LEAST, GRAM = 50, 20
 #: Most starts of one span, and about how many spans of one anchor meet in a task.
@@ -48,23 +51,34 @@ FILTER_BITS = 1 << 27
 BUCKET_BYTES = 16 << 20
 #: Starts whose suffix order a task builds at once, at the least.
 BATCH_STARTS = 200_000
+#: Bytes of text whose anchors are worked out at once.
+SLICE = 512 << 10
 
 
 class Anchors:
     def __init__(self, least: int = LEAST, gram: int = GRAM):
-        self.least, self.gram, self.hash = least, min(gram, least), PrefixHash(53)
+        self.least, self.gram = least, min(gram, least)
+        self.offsets = sorted({*range(0, max(self.gram - 7, 1), 8), max(self.gram - 8, 0)})
+        self.factors = np.random.default_rng(53).integers(1, 1 << 63, len(self.offsets), np.uint64) | np.uint64(1)
+
+    def grams(self, raw: np.ndarray) -> np.ndarray:
+        """A hash of the ``gram`` bytes from each place on. It only says which strings meet."""
+        n = len(raw) - self.gram + 1
+        padded = np.concatenate((raw, np.zeros(8, np.uint8)))
+        words = np.ndarray((len(raw) + 1,), "<u8", padded, 0, (1,))  # the 8 bytes from each place on
+        own = np.uint64((1 << 8 * min(self.gram, 8)) - 1)
+        h = np.zeros(n, np.uint64)
+        for o, f in zip(self.offsets, self.factors):
+            h += (words[o : o + n] & own) * f
+        return mix(h)
 
     def spans(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray):
-        """(anchor, row, first start in the row, number of starts, hash of the span's bytes)."""
+        """(anchor, row, first start in the row, number of starts, first start in raw)."""
         none = np.zeros(0, np.int64)
         long = end - start >= self.least
         if not long.any():
-            return none.astype(np.uint64), none, none, none, none.astype(np.uint64)
-        prefix = self.hash.prefix(raw)
-        n = len(raw)
-        place = np.arange(n - self.gram + 1)
-        h = self.hash.of(prefix, place, place + self.gram)
-        width, size, low = self.least - self.gram + 1, 1, h
+            return none.astype(np.uint64), none, none, none, none
+        width, size, low = self.least - self.gram + 1, 1, self.grams(raw)
         while 2 * size <= width:
             low = np.minimum(low[:-size], low[size:])
             size *= 2
@@ -79,8 +93,7 @@ class Anchors:
         count = np.minimum(SPAN, np.repeat(cut + length, parts) - first)
         at = starts[first]
         row = np.searchsorted(end, at, "right")
-        text = mix(self.hash.of(prefix, at, at + count + self.least - 1) + count.astype(np.uint64))
-        return mix(v[first]), row, at - start[row], count, text
+        return mix(v[first]), row, at - start[row], count, at
 
 
 def _anchor_filter(docs: DataFrame, least: int, gram: int):
@@ -92,7 +105,7 @@ def _anchor_filter(docs: DataFrame, least: int, gram: int):
     def collect(batches):
         made = Anchors(least, gram)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, SLICE):
                 raw, start, end = text_bytes(part.column(1))
                 v, row, *_ = made.spans(raw, start, end)
                 if not len(v):
@@ -127,61 +140,98 @@ def _anchor_filter(docs: DataFrame, least: int, gram: int):
         if keys:
             yield out(bucket, keys)
 
-    keyed = docs.mapInArrow(collect, "bucket int, keys binary").repartition("bucket").sortWithinPartitions("bucket")
+    keyed = docs.mapInArrow(lean(collect), "bucket int, keys binary").repartition("bucket").sortWithinPartitions("bucket")
     table = np.zeros((buckets, max(own // 8, 1)), np.uint8)
-    for r in keyed.mapInArrow(repeated, "bucket int, flags binary").toLocalIterator():  # FILTER_BITS in all
+    for r in keyed.mapInArrow(lean(repeated), "bucket int, flags binary").toLocalIterator():  # FILTER_BITS in all
         table[r["bucket"]] = np.frombuffer(r["flags"], np.uint8)
     return docs.sparkSession.sparkContext.broadcast(table), bits, own
 
 
 def _shared_spans(docs: DataFrame, least: int, gram: int) -> DataFrame:
-    """(v, span, doc, t, lo, n) of the spans whose anchor may occur in another document."""
+    """(v, s1, s2, doc, t, lo, n) of the spans whose anchor may occur in another document."""
     sent, bits, own = _anchor_filter(docs, least, gram)
 
     def run(batches):
         made = Anchors(least, gram)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, SLICE):
                 raw, start, end = text_bytes(part.column(1))
-                v, row, lo, n, text = made.spans(raw, start, end)
+                v, row, lo, n, at = made.spans(raw, start, end)
                 key = (v >> np.uint64(32 - bits)).astype(np.uint32).astype(np.int64) % own
                 hit = np.flatnonzero(sent.value[(v >> np.uint64(64 - bits)).astype(np.int64), key >> 3] >> (key & 7).astype(np.uint8) & 1)
+                whole, at, size = raw.tobytes(), at[hit], n[hit] + (least - 1)
+                names = np.frombuffer(b"".join([hashlib.blake2b(whole[a : a + k], digest_size=16).digest() for a, k in zip(at.tolist(), size.tolist())]), "<i8").reshape(-1, 2)
                 doc, t = np.asarray(part.column(0)).astype(np.int64), np.asarray(part.column(2)).astype(np.int64)
-                yield pa.RecordBatch.from_pydict({"v": v[hit].astype(np.int64), "span": text[hit].astype(np.int64), "doc": doc[row[hit]], "t": t[row[hit]], "lo": lo[hit].astype(np.int32), "n": n[hit].astype(np.int32)})
+                yield pa.RecordBatch.from_pydict({
+                    "v": v[hit].astype(np.int64), "s1": names[:, 0].copy(), "s2": names[:, 1].copy(), "doc": doc[row[hit]], "t": t[row[hit]],
+                    "lo": lo[hit].astype(np.int32), "n": n[hit].astype(np.int32),
+                })
 
-    return docs.mapInArrow(run, "v long, span long, doc long, t long, lo int, n int")
+    return docs.mapInArrow(lean(run), "v long, s1 long, s2 long, doc long, t long, lo int, n int")
 
 
-def earlier_matches(data: list[bytes], doc: np.ndarray, count: np.ndarray, least: int):
-    """Of every start of every span: is there a match of ``least`` bytes in an earlier document?
+def previous_smaller(value: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of each place the last one before it, from ``first`` on, whose value is smaller; -1 if there is none.
 
-    Gives (span, offset, flag). The suffix order is that of the first ``least`` bytes; among
-    equal ones the first has the smallest document, which is the previous smaller position
-    of those of later documents.
+    Blocks of 2**k values, largest first, are skipped as long as none of theirs is smaller.
+    """
+    n = len(value)
+    lowest, longest = [value], int((np.arange(n) - first).max(initial=0))
+    while 2 << (len(lowest) - 1) <= longest:
+        half, x = 1 << (len(lowest) - 1), lowest[-1]
+        lowest.append(np.minimum(x[:-half], x[half:]))
+    p = np.arange(n)
+    for k in reversed(range(len(lowest))):
+        start = p - (1 << k)
+        can = np.flatnonzero(start >= first)
+        skip = can[lowest[k][start[can]] >= value[can]]
+        p[skip] = start[skip]
+    return np.where(p > first, p - 1, -1)
+
+
+def previous_factors(doc: np.ndarray, lcp: np.ndarray, least: int) -> np.ndarray:
+    """Longest previous factors, cut off at ``least`` (0: shorter), in suffix order.
+
+    doc: of each suffix its document; lcp: with the suffix before it, cut off at ``least``.
     """
+    out = np.zeros(len(doc), np.int64)
+    joined = lcp >= least
+    inside = np.flatnonzero(joined | np.append(joined[1:], False))  # no other suffix can have one
+    if not len(inside):
+        return out
+    head = ~joined[inside]
+    first = np.maximum.accumulate(np.where(head, np.arange(len(inside)), 0))
+    tail = np.append(head[1:], True)
+    last = len(inside) - 1 - np.minimum.accumulate(np.where(tail, np.arange(len(inside)), len(inside))[::-1])
+    value = np.unique(doc[inside], return_inverse=True)[1].astype(np.int32)
+    found = (previous_smaller(value, first) >= 0) | (previous_smaller(value[::-1], last) >= 0)[::-1]
+    out[inside[found]] = least
+    return out
+
+
+def earlier_matches(data: list[bytes], doc: np.ndarray, count: np.ndarray, least: int):
+    """(span, offset, flag) of every start of every span: does its previous factor reach ``least``?"""
     raw = np.frombuffer(b"".join(data) + bytes(64), np.uint8)
     size = np.array([len(x) for x in data], np.int64)
     first = np.cumsum(size) - size
     span = np.repeat(np.arange(len(data)), count)
     offset = concat_ranges(np.zeros(len(data), np.int64), count)
     at = first[span] + offset
-    words = []
+    whole = np.ndarray((len(raw) - 7,), ">u8", raw, 0, (1,))
+    words = []  # the first ``least`` bytes of each suffix as big-endian numbers, so that they sort as bytes
     for k in range(0, least, 8):
-        wide = min(8, least - k)
-        w = np.zeros(len(at), np.uint64)
-        for j in range(wide):
-            w = w << np.uint64(8) | raw[at + k + j]
-        words.append(w)
-    order = np.lexsort((doc[span], *reversed(words)))
-    same = np.ones(max(len(order) - 1, 0), bool)
-    for w in words:
-        x = w[order]
-        same &= x[1:] == x[:-1]
-    head = np.concatenate(([True], ~same)) if len(order) else np.zeros(0, bool)
-    run = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0)) if len(order) else np.zeros(0, np.int64)
-    d = doc[span[order]]
+        w = whole[at + k].astype(np.uint64)
+        words.append(w if least - k >= 8 else w >> np.uint64(8 * (8 - (least - k))))
+    order = np.lexsort(words[::-1])
+    lcp, open_ = np.zeros(len(order), np.int64), np.arange(1, len(order))
+    for k, w in enumerate(words):
+        wide = min(8, least - 8 * k)
+        diff = w[order[open_]] ^ w[order[open_ - 1]]
+        bits = np.frexp((diff & ~(diff >> np.uint64(1))).astype(np.float64))[1]  # of the highest bit that differs; rounding cannot carry
+        lcp[open_] += wide - (bits + 7) // 8
+        open_ = open_[diff == 0]
     flag = np.zeros(len(order), bool)
-    flag[order] = d > d[run]
+    flag[order] = previous_factors(doc[span[order]], lcp, least) >= least
     return span, offset, flag
 
 
@@ -220,35 +270,52 @@ def _factors(rows: DataFrame, least: int) -> DataFrame:
             yield out(group)
 
     dealt = rows.select("route", "open", "doc", "t", "lo", "n", "bytes").repartition("route").sortWithinPartitions("route")
-    return dealt.mapInArrow(run, "doc long, t long, lo int, hi int, string binary")
+    return dealt.mapInArrow(lean(run), "doc long, t long, lo int, hi int, string binary")
 
 
-def _with_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Adds its bytes to each wanted span (v, chunk, chunks, doc, t, lo, n)."""
-    by_doc = wanted.groupBy("doc", "t").agg(F.collect_list(F.struct("v", "chunk", "chunks", "lo", "n")).alias("spans"))
+def _with_bytes(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
+    """Adds its bytes to each wanted span (route, open, doc, t, lo, n); each text is read once."""
+    by_doc = wanted.groupBy("doc", "t").agg(F.collect_list(F.struct("route", "open", "lo", "n")).alias("spans"))
     ids = by_doc.select("doc").distinct()
-    texts = IdFilter(ids).semi_join(docs, ids, "doc")
-    return texts.join(by_doc, ["doc", "t"]).select("doc", "t", F.col("text").cast("binary").alias("raw"), F.explode("spans").alias("s"))
+    # Rows that share an id and a text need only one of them.
+    texts = IdFilter(ids).semi_join(docs, ids, "doc").join(by_doc, ["doc", "t"]).select("doc", "t", "text", "spans")
+
+    def cut(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                raw, spans = batch.column(2)[i].as_buffer().to_pybytes(), batch.column(3)[i].values
+                lo, n = np.asarray(spans.field(2)), np.asarray(spans.field(3))
+                for k in range(0, len(lo), 4096):
+                    part = slice(k, k + 4096)
+                    m = len(lo[part])
+                    pieces = pa.array([raw[x : x + y + least - 1] for x, y in zip(lo[part].tolist(), n[part].tolist())], pa.binary())
+                    yield pa.RecordBatch.from_pydict({
+                        "route": spans.field(0).slice(k, m), "open": spans.field(1).slice(k, m), "doc": pa.array(np.full(m, batch.column(0)[i].as_py())), "t": pa.array(np.full(m, batch.column(1)[i].as_py())),
+                        "lo": spans.field(2).slice(k, m), "n": spans.field(3).slice(k, m), "bytes": pieces,
+                    })
+
+    return texts.mapInArrow(lean(cut), "route long, open boolean, doc long, t long, lo int, n int, bytes binary")
 
 
 def removed_intervals(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """(doc, t, lo, hi): intervals of bytes that go; they may overlap. docs: doc, text, t."""
     spans = staged(_shared_spans(docs, least, gram), "spans")
-    firsts = spans.groupBy("span").agg(F.min("doc").alias("m"), F.count("*").alias("copies"), F.min("v").alias("v"))  # a span's bytes settle its anchor
+    firsts = spans.groupBy("s1", "s2").agg(F.min("doc").alias("m"), F.count("*").alias("copies"), F.min("v").alias("v"))  # a span's bytes settle its anchor
     anchors = firsts.groupBy("v").agg(F.count("*").alias("spans"), F.sum("copies").alias("copies")).where("spans > 1 or copies > 1").drop("copies")
     # A span that is alone with its anchor was let through by the filter for nothing.
     known = staged(firsts.drop("copies").join(anchors, "v"), "known")
-    judged = spans.drop("v").join(known, "span").where("doc > m or spans > 1")
+    judged = spans.drop("v").join(known, ["s1", "s2"]).where("doc > m or spans > 1")
     judged = staged(judged.select("v", "spans", "doc", "t", "lo", "n", (F.col("doc") > F.col("m")).alias("later")), "judged")
     discard(spans, known)
     later = judged.where("later").select("doc", "t", "lo", (F.col("lo") + F.col("n") + (least - 1)).cast("int").alias("hi"))
-    several = judged.where("not later").withColumn("chunks", F.ceil(F.col("spans") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("doc", "v"), F.col("chunks")).cast("int"))
-    text = _with_text(docs, several.select("v", "chunk", "chunks", "doc", "t", "lo", "n"))
-    piece = text.select(F.xxhash64("s.v", "s.chunk").alias("route"), (F.col("s.chunks") > 1).alias("open"), "doc", "t", F.col("s.lo").alias("lo"), F.col("s.n").alias("n"), F.expr(f"substring(raw, s.lo + 1, s.n + {least - 1})").alias("bytes"))
-    found = staged(_factors(piece, least), "factors")
+    chunks = F.ceil(F.col("spans") / CHUNK)
+    several = judged.where("not later").select(F.xxhash64("v", F.pmod(F.xxhash64("doc", "v"), chunks)).alias("route"), (chunks > 1).alias("open"), "doc", "t", "lo", "n")
+    found = staged(_factors(_with_bytes(docs, several, least), least), "factors")
     again = found.where("string is not null").select(F.xxhash64("string").alias("route"), F.lit(False).alias("open"), "doc", "t", "lo", F.lit(1).alias("n"), F.col("string").alias("bytes"))
     inner = found.where("string is null").union(_factors(again, least))
-    return later.union(inner.select("doc", "t", "lo", "hi"))
+    out = staged(later.union(inner.select("doc", "t", "lo", "hi")), "intervals")
+    discard(judged, found)
+    return out
 
 
 def remove_repeats(docs: DataFrame, *, least: int = LEAST, gram: int = GRAM) -> DataFrame:
@@ -256,7 +323,7 @@ def remove_repeats(docs: DataFrame, *, least: int = LEAST, gram: int = GRAM) ->
     bounded_batches(docs.sparkSession)
     all_rows = docs.select(F.col("doc_id").cast("long").alias("doc"), "text", F.xxhash64("text").alias("t"))
     named = all_rows.where("doc is not null")
-    intervals = staged(removed_intervals(named, least, gram), "intervals")
+    intervals = removed_intervals(named, least, gram)
     merged = intervals.groupBy("doc", "t").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("cut"))
     affected = IdFilter(intervals.select("doc").distinct())
 
@@ -285,7 +352,7 @@ def remove_repeats(docs: DataFrame, *, least: int = LEAST, gram: int = GRAM) ->
     whole = affected.maybe(all_rows, "doc", False)
     raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     untouched = whole.select(F.col("doc").alias("doc_id"), F.length(raw).cast("long").alias("n_bytes"), F.array().cast("array<array<int>>").alias("removed"), raw.alias("kept"))
-    return touched.mapInArrow(cut, schema).union(untouched)
+    return touched.mapInArrow(lean(cut), schema).union(untouched)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
