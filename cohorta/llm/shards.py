@@ -1,19 +1,19 @@
 """Training-order materialisation: token sequences in keyed random order, in binary shards.
 
 Each task joins the token ids of its documents, an end id after each, and cuts the stream
-into sequences of ``LENGTH``; its last sequence is padded. A keyed Feistel permutation with
-cycle-walking sends a sequence's number, 0 to N - 1, to a global slot. Shard k holds the
-slots from k * ``PER_SHARD`` on: one task sorts them and writes one file of fixed stride, so
-slot s of a shard starts at byte (s mod PER_SHARD) * stride, and a reader can resume anywhere.
+into sequences of ``LENGTH``; its last sequence is padded. These are written once, compressed,
+and counted. A keyed Feistel permutation with cycle-walking sends a sequence's number, 0 to
+N - 1, to a global slot. Shard k holds the slots from k * ``PER_SHARD`` on; slots are dealt to
+tasks in ranges of whole shards, and each task sorts its slots and writes its shards one after
+the other as files of fixed stride. So slot s of a shard starts at byte
+(s mod PER_SHARD) * stride, and a reader can resume anywhere.
 
 * A stride is a little-endian unsigned 32-bit count of true ids, then ``LENGTH`` ids (2 bytes
   each if the vocabulary has at most 65,536 tokens, else 4), the padding zero.
 * Null and empty texts are their end id alone. An empty table writes no file, gives no row.
 * Repeated rows are documents of their own; rows with a null doc_id are written too and
   listed with a null id. Columns other than doc_id and text are ignored.
-* Numbers follow the input splits. The splits are read twice, first to count, then to write;
-  if a second reading finds another number of sequences, the job fails rather than misplace.
-  So ``docs`` must be a table as written, not the unordered result of a shuffle.
+* Numbers follow the parts in which the sequences were first written. ``docs`` is read once.
 * A file is written under a task's own name and then moved, so a lost executor's half file is
   never taken for a shard; a repeated task writes the same bytes.
 """
@@ -26,14 +26,17 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohorta.llm.common import bounded_batches, mix, shared_dir, staged
+from cohorta.llm.common import bounded_batches, discard, lean, mix, shared_dir, staged
 from cohorta.llm.tokens import read_tokenizer, text_ids
 
 LENGTH, PER_SHARD, END_ID, KEY, ROUNDS = 2048, 4096, 2, 0x5EED, 6
+#: Most tasks that write shards; with more shards each task writes several.
+MOST_TASKS = 20_000
 
 
 def feistel(number: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
@@ -91,54 +94,50 @@ def write_shards(docs: DataFrame, path: str, *, tokenizer: str | None = None, le
     spark = docs.sparkSession
     bounded_batches(spark)
     spec = spark.sparkContext.broadcast(read_tokenizer(tokenizer))
-    plain = docs.select(F.col("doc_id").cast("long"), "text")
-
-    def count(batches):
-        n = 0
-        encode, held = text_ids(spec.value), 0
-        for batch in batches:
-            for text in batch.column(1):
-                held += len(encode(text.as_py())) // encode.dtype.itemsize + 1
-        n = -(-held // length)
-        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([n], pa.int64())})
-
-    counts = {r["part"]: r["n"] for r in plain.mapInArrow(count, "part int, n long").collect()}  # one number a split
-    total = sum(counts.values())
     manifest = "slot long, number long, shard int, byte_offset long, n_tokens int, crc32 long, doc_ids array<long>"
-    if not total:
-        return spark.createDataFrame([], manifest)
-    first, at = {}, 0
-    for p in sorted(counts):
-        first[p], at = at, at + counts[p]
-    known = spark.sparkContext.broadcast((first, counts))
 
     def cut(batches):
-        part = TaskContext.get().partitionId()
-        base, n = known.value[0].get(part, 0), known.value[1].get(part, 0)
-        seen, rows = 0, []
+        part, seen, rows = TaskContext.get().partitionId(), 0, []
+        press = zstandard.ZstdCompressor(level=1).compress
 
-        def out(rows):
-            number = np.arange(base + seen - len(rows), base + seen)
-            slot = feistel(number, total, key)
+        def out():
+            n = len(rows)
             return pa.RecordBatch.from_pydict({
-                "slot": slot, "number": number, "shard": (slot // per_shard).astype(np.int32), "n_tokens": pa.array([r[1] for r in rows], pa.int32()),
-                "doc_ids": pa.array([r[0] for r in rows], pa.list_(pa.int64())), "ids": pa.array([r[2] for r in rows], pa.binary()),
+                "part": pa.array(np.full(n, part, np.int32)), "at": pa.array(np.arange(seen - n, seen)), "n_tokens": pa.array([r[1] for r in rows], pa.int32()),
+                "doc_ids": pa.array([r[0] for r in rows], pa.list_(pa.int64())), "ids": pa.array([press(r[2]) for r in rows], pa.binary()),
             })
 
         for row in _sequences(batches, spec.value, length, end_id):
             rows.append(row)
             seen += 1
-            if len(rows) == 1024:
-                yield out(rows)
+            if len(rows) == 512:
+                yield out()
                 rows = []
         if rows:
-            yield out(rows)
-        if seen != n:
-            raise RuntimeError(f"split {part} had {n} sequences and now has {seen}: its input is not stable")
+            yield out()
+
+    plain = docs.select(F.col("doc_id").cast("long"), "text")
+    sequences = staged(plain.mapInArrow(lean(cut), "part int, at long, n_tokens int, doc_ids array<long>, ids binary"), "sequences")
+    counts = {r["part"]: r["n"] for r in sequences.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one number a part
+    total = sum(counts.values())
+    if not total:
+        return spark.createDataFrame([], manifest)
+    first, at = {}, 0
+    for p in sorted(counts):
+        first[p], at = at, at + counts[p]
+    sent = spark.sparkContext.broadcast(first)
+
+    def permute(batches):
+        for batch in batches:
+            base = np.array([sent.value[p] for p in batch.column(0).to_pylist()], np.int64)
+            number = base + np.asarray(batch.column(1))
+            slot = feistel(number, total, key)
+            yield pa.RecordBatch.from_pydict({"slot": slot, "number": number, "shard": (slot // per_shard).astype(np.int32)} | {f.name: batch.column(k) for k, f in enumerate(batch.schema) if k > 1})
 
     def write(batches):
         stream = name = fs = temp = None
         shard = size = None
+        unpress = zstandard.ZstdDecompressor().decompress
 
         def close():
             if stream is not None:
@@ -157,6 +156,7 @@ def write_shards(docs: DataFrame, path: str, *, tokenizer: str | None = None, le
                     name = f"{folder}/shard-{s:08d}.bin"
                     temp = f"{folder}/.{s:08d}-{uuid.uuid4().hex}"
                     stream = fs.open_output_stream(temp)
+                ids = unpress(ids)
                 stride = np.array([n], "<u4").tobytes() + ids
                 offsets.append((slot % per_shard) * len(stride))
                 sums.append(zlib.crc32(ids[: n * (len(ids) // length)]))
@@ -170,9 +170,13 @@ def write_shards(docs: DataFrame, path: str, *, tokenizer: str | None = None, le
             })
         close()
 
-    rows = plain.mapInArrow(cut, "slot long, number long, shard int, n_tokens int, doc_ids array<long>, ids binary")
-    dealt = rows.repartitionById(-(-total // per_shard), F.col("shard")).sortWithinPartitions("slot")
-    return staged(dealt.mapInArrow(write, manifest), "manifest")
+    rows = sequences.mapInArrow(permute, "slot long, number long, shard int, n_tokens int, doc_ids array<long>, ids binary")
+    shards = -(-total // per_shard)
+    each = -(-shards // min(shards, MOST_TASKS))
+    dealt = rows.repartitionById(-(-shards // each), F.floor(F.col("shard") / each).cast("int")).sortWithinPartitions("slot")
+    out = staged(dealt.mapInArrow(lean(write), manifest), "manifest")
+    discard(sequences)
+    return out
 
 
 def read_shard(path: str, shard: int, *, start: int = 0, length: int = LENGTH, dtype: str = "<u2"):
