@@ -1,31 +1,35 @@
 """Packing by lexical retrieval: documents that share rare tokens fill one window.
 
-Each task cuts its documents into shards of at most ``SHARD_TOKENS`` ids, builds a BM25
-inverted index over a shard, and fills windows: a seed document, then its nearest unused
-neighbours in order of BM25 score, then (none left) unused documents in reading order. A
-document that does not fit is cut, and its rest seeds the next window. The shard's last,
-partly filled window is cut into sequences whose lengths are powers of two.
+Documents are tokenised once and dealt by content: in order of their two most frequent token
+ids, which tell languages and manners of writing apart, into ranges of about
+``SHARD_TOKENS`` ids; a content that many documents share is split over as many ranges as it
+takes. Each task builds a BM25 inverted index over a shard of its range and fills windows: a
+seed document, then its nearest unused neighbours in order of BM25 score, then (none left)
+unused documents in reading order. A document that does not fit is cut, and its rest seeds
+the next window. The shard's last, partly filled window is cut into sequences whose lengths
+are powers of two.
 
 * A document is its token ids and then one end id, so a null or empty text is that id alone.
 * Every id lies in exactly one piece; nothing is dropped, whatever a text's length.
 * Ties in score go to the document read first. Repeated rows are documents of their own.
 * An empty table gives no piece. Columns other than the named ones are ignored.
+* A document's neighbours come from its shard only: memory is bounded by ``SHARD_TOKENS``
+  (a longer document is a shard of its own), and alike documents in other shards do not meet.
 
-There is no shuffle: a shard is a part of one input split, like the shards of a document-
-partitioned search engine, so memory is bounded by ``SHARD_TOKENS`` and a lost executor
-costs the re-reading of its splits. ``sequence_id`` is (partition << 32) + number.
+``sequence_id`` is (partition << 32) + number.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohorta.llm.common import bounded_batches, concat_ranges
-from cohorta.llm.tokens import read_tokenizer, text_ids
+from cohorta.llm.common import bounded_batches, concat_ranges, lean, mix, staged
+from cohorta.llm.tokens import TextIds, read_tokenizer, text_ids
 
 WINDOW, END_ID = 4096, 2
 #: Most token ids of one shard; a longer document is a shard of its own.
@@ -137,14 +141,41 @@ def pack_shard(ids: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, i
     return out
 
 
+def content_key(ids: np.ndarray) -> int:
+    """The two most frequent ids, the most frequent first (ties: the smaller id); -1 stands for none."""
+    term, n = np.unique(ids, return_counts=True)
+    top = [*term[np.lexsort((term, -n))[:2]].tolist(), -1, -1]
+    return (top[0] + 1 << 32) + top[1] + 1
+
+
+def _tokenised(docs: DataFrame, spec) -> DataFrame:
+    """(doc_id, n, key, place, ids): each document's ids, compressed, its content, and a number of its own."""
+
+    def run(batches):
+        encode, press, row = text_ids(spec.value), zstandard.ZstdCompressor(level=1).compress, 0
+        for batch in batches:
+            raw = [encode(t.as_py()) for t in batch.column(1)]
+            ids = [np.frombuffer(x, encode.dtype) for x in raw]
+            place = mix(np.arange(row, row + len(ids), dtype=np.uint64) + (np.uint64(TaskContext.get().partitionId()) << np.uint64(40)))
+            row += len(ids)
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column(0), "n": pa.array([len(x) for x in ids], pa.int64()), "key": pa.array([content_key(x) for x in ids], pa.int64()),
+                "place": place.astype(np.int64), "ids": pa.array([press(x) for x in raw], pa.binary()),
+            })
+
+    plain = docs.select(F.col("doc_id").cast("long"), "text")
+    return plain.mapInArrow(lean(run), "doc_id long, n long, key long, place long, ids binary")
+
+
 def pack(docs: DataFrame, *, tokenizer: str | None = None, window: int = WINDOW, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Pieces: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32 bits)."""
     bounded_batches(docs.sparkSession)
-    spec = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer))
+    text = read_tokenizer(tokenizer)
+    spec, wide = docs.sparkSession.sparkContext.broadcast(text), TextIds(text).dtype.str
 
     def run(batches):
-        encode = text_ids(spec.value)
-        end = np.array([end_id], encode.dtype).tobytes()
+        unpress, dtype = zstandard.ZstdDecompressor().decompress, np.dtype(wide)
+        end = np.array([end_id], dtype).tobytes()
         base = TaskContext.get().partitionId() << 32
         sequences = 0
 
@@ -163,8 +194,8 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, window: int = WINDOW,
 
         shard, size = [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                x = np.frombuffer(encode(text.as_py()) + end, encode.dtype)
+            for doc_id, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = np.frombuffer(unpress(packed) + end, dtype)
                 if shard and size + len(x) > shard_tokens:
                     yield from flush(shard)
                     shard, size = [], 0
@@ -173,8 +204,10 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, window: int = WINDOW,
         if shard:
             yield from flush(shard)
 
-    plain = docs.select(F.col("doc_id").cast("long"), "text")
-    return plain.mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    made = staged(_tokenised(docs, spec), "tokens")
+    total = made.agg(F.sum(F.col("n") + 1)).first()[0] or 0
+    dealt = made.repartitionByRange(max(1, -(-total // shard_tokens)), "key", "place").sortWithinPartitions("key", "place").select("doc_id", "ids")
+    return dealt.mapInArrow(lean(run), "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
