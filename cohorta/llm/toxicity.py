@@ -1,13 +1,18 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
 1. Of each word and each prefix of ``PREFIX`` letters, the toxic and the clean training
-   documents that have it are counted. Log-odds under a Dirichlet prior in proportion to the
-   corpus, less ``Z`` standard errors, less the classes' own odds and a margin, give a
-   token's score; only positive ones are kept, any other word costs ``STEP``.
+   documents that have it are counted. Its score is the log-odds under a Dirichlet prior in
+   proportion to the corpus, drawn towards 0 by ``Z`` standard errors and a margin. Positive
+   ones are what is left after the classes' own odds: such a word alone makes label 1 the
+   likelier. Negative ones stay negative. A word has the larger of its own and its prefix's
+   score, 0 if neither is known, and every word costs ``STEP`` besides.
 2. A linear-time scan finds all maximal-scoring segments of a text (Ruzzo and Tompa).
-3. Scores of segments in clean training texts of n words follow an extreme-value law: the
-   number expected to reach s is K n exp(-lambda s). A text's statistic adds, over its
-   segments, how far below one that expectation is; a logistic curve makes it a probability.
+3. Extreme-value calibration: the number of segments of clean text that reach s in n words is
+   expected to be K n exp(-lambda s). lambda is the positive root of E[exp(lambda s)] = 1 over the
+   word scores of all clean training texts; K has the greatest likelihood, given their largest segments.
+   A segment is a significant passage if that number is at most ``SIGNIFICANT``. A text's
+   statistic adds, over its segments, how far below one the number is; a logistic curve
+   makes it a probability.
 
 * Training takes labelled documents only; exact copies with the same label count once.
 * Null, empty and wordless texts have no segment and get the score of a text without one.
@@ -29,16 +34,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohorta.llm.common import IdFilter, bounded_batches, fold, staged
+from cohorta.llm.common import IdFilter, bounded_batches, discard, fold, lean, staged
 from cohorta.llm.decontaminate import _WORD_BYTE
 
 PREFIX = 4
 PRIOR_SHARE, Z, MARGIN, STEP = 0.1, 1.64, 0.3, 0.02
 #: Most labelled texts that the logistic curve is fitted on.
 FIT_ROWS = 50_000
-#: Most tokens of the lexicon in one broadcast; more are sent in several passes.
-BLOCK_TOKENS = 500_000
+#: About the most tokens of the lexicon in one broadcast; more are sent in several passes.
+BLOCK_TOKENS = 200_000
+#: Most segments of clean text expected to score as much as a passage that is reported.
+SIGNIFICANT = 0.05
 THRESHOLD = 0.3
+#: Scores fall in bins of this width when their distribution is counted.
+_BIN = 0.01
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -73,17 +82,18 @@ def segments(scores: list[float]) -> list[tuple[float, int, int]]:
 
 
 class _Scores(dict):
-    """A word's score, worked out once."""
+    """A word's score in a block of the lexicon, NaN if it has none there, worked out once."""
 
     def __init__(self, lexicon: dict[bytes, float]):
         super().__init__()
         self.lexicon = lexicon
 
     def __missing__(self, word: bytes) -> float:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         p = prefix_of(word)
-        s = self[word] = max(self.lexicon.get(word, 0.0), self.lexicon.get(p, 0.0) if p else 0.0)
+        known = [x for x in (self.lexicon.get(word), self.lexicon.get(p) if p else None) if x is not None]
+        s = self[word] = max(known) if known else math.nan
         return s
 
 
@@ -95,14 +105,12 @@ class Model:
     decay: float = 1.0
     weights: tuple[float, float] = (0.0, 0.0)
 
-    def statistic(self, n_words: int, found: list[float]) -> float:
-        expected = math.log(max(self.rate * n_words, 1e-300))
-        return sum(max(0.0, self.decay * s - expected) for s in found)
+    def excess(self, score: Column, n_words: Column) -> Column:
+        """How far, as a logarithm, the expected number of such segments in clean text is below one; 0 if it is not."""
+        return F.greatest(F.lit(0.0), self.decay * score - F.log(F.greatest(F.lit(self.rate) * n_words, F.lit(1e-300))))
 
-    def probability(self, statistic: float) -> float:
-        if self.lexicon is None:
-            return self.base_rate
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.weights[0] + self.weights[1] * statistic))))
+    def statistic(self, passages: str, n_words: str) -> Column:
+        return F.aggregate(passages, F.lit(0.0), lambda t, p: t + self.excess(p["score"], F.col(n_words)))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -141,21 +149,29 @@ def _lexicon(counts: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
     a, b = F.col("toxic"), F.col("clean")
     prior = PRIOR_SHARE * (a + b)
     ya, yb = a + prior, b + prior
-    odds = F.log(ya / yb) + math.log(n_clean / n_toxic) - Z * F.sqrt(1 / ya + 1 / yb)
-    score = odds - math.log(n_clean / n_toxic) - MARGIN
-    return counts.where("toxic > 0").select("token", score.alias("score")).where("score > 0")
+    classes = math.log(n_clean / n_toxic)
+    odds, slack = F.log(ya / yb) + classes, Z * F.sqrt(1 / ya + 1 / yb) + MARGIN
+    score = F.greatest(odds - slack - classes, F.lit(0.0)) + F.least(odds + slack, F.lit(0.0))  # one of the two is 0 at least
+    return counts.select("token", score.alias("score")).where("score != 0")
 
 
-def _passages(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Adds n_words and passages: the maximal segments as (score, first word, end)."""
+_PASSAGES = "array<struct<score:double,start:int,end:int>>"
+
+
+def _passages(docs: DataFrame, lexicon: DataFrame, tally: bool = False) -> DataFrame:
+    """Adds n_words and passages: the maximal segments as (score, first word, end).
+
+    tally: adds instead n_words, passages and bins, how many words scored what in hundredths.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in {"n_words", "passages", "word_scores"}])
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in {"n_words", "passages", "word_scores", "bins"}])
     blocks = max(1, math.ceil(lexicon.count() / BLOCK_TOKENS))
     passage = pa.list_(pa.struct([("score", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))
     out = docs.withColumn("word_scores", F.lit(None).cast("array<float>"))
     schema = out.schema
-    final = docs.withColumn("n_words", F.lit(None).cast("long")).withColumn("passages", F.lit(None).cast("array<struct<score:double,start:int,end:int>>")).schema
+    final = docs.withColumn("n_words", F.lit(None).cast("long")).withColumn("passages", F.lit(None).cast(_PASSAGES))
+    final = (final.withColumn("bins", F.lit(None).cast("map<int,long>")) if tally else final).schema
     for k in range(blocks):
         part = lexicon.where(F.pmod(F.xxhash64("token"), F.lit(blocks)) == k).collect()  # BLOCK_TOKENS rows or so
         sent = spark.sparkContext.broadcast({bytes(r["token"]): r["score"] for r in part})
@@ -165,27 +181,47 @@ def _passages(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
             memo = _Scores(sent.value)
             for batch in batches:
                 at = batch.schema.get_field_index("word_scores")
-                n, rows = [], []
+                n, rows, bins = [], [], []
                 for text, old in zip(batch.column("text").to_pylist(), batch.column(at)):
                     words = words_of(text)
                     n.append(len(words))
-                    s = [memo[w] for w in words]
+                    s = np.array([memo[w] for w in words])
                     if old.is_valid:
-                        s = [max(x, y) for x, y in zip(s, old.as_py())]
+                        s = np.fmax(s, np.asarray(old.values, np.float64))
                     if not last:
                         rows.append(s)
-                    else:
-                        rows.append([{"score": x, "start": a, "end": b} for x, a, b in segments([x or -STEP for x in s])] if any(s) else [])
+                        continue
+                    s = np.nan_to_num(s) - STEP
+                    rows.append([{"score": x, "start": a, "end": b} for x, a, b in segments(s.tolist())] if (s > 0).any() else [])
+                    if tally:
+                        bins.append(list(zip(*(x.tolist() for x in np.unique(np.rint(s / _BIN).astype(np.int32), return_counts=True)))))
                 kept = {f.name: batch.column(i) for i, f in enumerate(batch.schema) if i != at}
                 if last:
-                    yield pa.RecordBatch.from_pydict(kept | {"n_words": pa.array(n, pa.int64()), "passages": pa.array(rows, passage)})
+                    more = {"bins": pa.array(bins, pa.map_(pa.int32(), pa.int64()))} if tally else {}
+                    yield pa.RecordBatch.from_pydict(kept | {"n_words": pa.array(n, pa.int64()), "passages": pa.array(rows, passage)} | more)
                 else:
                     yield pa.RecordBatch.from_pydict(kept | {"word_scores": pa.array(rows, pa.list_(pa.float32()))})
 
-        out = out.mapInArrow(run, final if last else schema)
+        before, out = out, out.mapInArrow(lean(run), final if last else schema)
+        if not last:  # one pass, with one block, is alive at a time
+            out = staged(out, "scored")
+            if k:
+                discard(before)
     return out
 
 
+def decay_of(scores: np.ndarray, counts: np.ndarray) -> float:
+    """The positive root of E[exp(lambda s)] = 1; scores must have a negative mean and a positive value."""
+    share, low, high = counts / counts.sum(), 0.0, 1.0
+    over = lambda x: float(np.sum(share * np.exp(np.minimum(x * scores, 700.0)))) > 1
+    while not over(high):
+        low, high = high, 2 * high
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (low, middle) if over(middle) else (middle, high)
+    return high
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Intercept and slope with a slight ridge, by Newton's method."""
     scale = max(float(x.std()), 1e-9)
@@ -208,26 +244,32 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     if not n_toxic or not n_clean:
         return Model(None, n_toxic / max(1, n_toxic + n_clean))
     lexicon = staged(_lexicon(_count_tokens(rows), n_toxic, n_clean), "lexicon")
-    found = staged(_passages(rows, lexicon).select("doc_id", "toxic", "n_words", F.transform("passages", lambda p: p["score"]).alias("scores")), "passages")
-    clean = found.where("toxic = 0").agg(F.sum("n_words").alias("words"), F.sum(F.size("scores")).alias("n"), F.sum(F.aggregate("scores", F.lit(0.0), lambda x, y: x + y)).alias("total")).first()
-    # One more segment of unit score keeps both figures finite where clean texts have none.
-    model = Model(lexicon, n_toxic / (n_toxic + n_clean), (clean["n"] + 0.5) / max(clean["words"] or 0, 1), (clean["n"] + 0.5) / ((clean["total"] or 0.0) + 0.5))
-    sample = found.orderBy(F.xxhash64("doc_id")).limit(FIT_ROWS).select("toxic", "n_words", "scores").collect()
-    x = np.array([model.statistic(r["n_words"], r["scores"]) for r in sample])
-    model.weights = _logistic(x, np.array([r["toxic"] for r in sample], float))
+    found = staged(_passages(rows, lexicon, True).select("doc_id", "toxic", "n_words", "passages", "bins"), "passages")
+    clean = found.where("toxic = 0")
+    bins = clean.select(F.explode("bins").alias("bin", "n")).groupBy("bin").agg(F.sum("n").alias("n")).toArrow()  # the width of the scores over _BIN rows
+    scores, counts = np.asarray(bins.column("bin")) * _BIN, np.asarray(bins.column("n")).astype(float)
+    # Half a word of unit score, and of cost 1, keep the root finite where clean texts have no positive word, and positive.
+    scores, counts = np.append(scores, [1.0, -1.0]), np.append(counts, [0.5, 0.5])
+    decay = decay_of(scores, counts) if scores @ counts < 0 else 1e-3
+    # n K exp(-lambda m) of a text's largest segment m is exponential with mean one.
+    largest = F.coalesce(F.array_max(F.transform("passages", lambda p: p["score"])), F.lit(0.0))
+    fit = clean.where("n_words > 0").agg(F.count("*").alias("n"), F.sum(F.col("n_words") * F.exp(-decay * largest)).alias("total")).first()
+    model = Model(lexicon, n_toxic / (n_toxic + n_clean), (fit["n"] or 1) / max(fit["total"] or 1.0, 1e-300), decay)
+    sample = found.orderBy(F.xxhash64("doc_id")).limit(FIT_ROWS).select(F.col("toxic").cast("double"), model.statistic("passages", "n_words").alias("x")).toArrow()  # two numbers a row
+    model.weights = _logistic(np.asarray(sample.column("x")), np.asarray(sample.column("toxic")))
+    discard(found)
     return model
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds n_words, passages (score, first word, end) and score, the probability of label 1."""
+    """Adds n_words, passages (the significant ones: score, first word, end) and score, the probability of label 1."""
     docs = docs.drop(*[c for c in docs.columns if c.lower() == "score"])
     if model.lexicon is None:
-        none = docs.withColumn("n_words", F.lit(0).cast("long")).withColumn("passages", F.array().cast("array<struct<score:double,start:int,end:int>>"))
+        none = docs.withColumn("n_words", F.lit(0).cast("long")).withColumn("passages", F.array().cast(_PASSAGES))
         return none.withColumn("score", F.lit(float(model.base_rate)))
-    expected = F.log(F.greatest(F.lit(model.rate) * F.col("n_words"), F.lit(1e-300)))
-    statistic = F.aggregate("passages", F.lit(0.0), lambda t, p: t + F.greatest(F.lit(0.0), model.decay * p["score"] - expected))
-    curve = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), model.weights[0] + model.weights[1] * statistic))
-    return _passages(docs, model.lexicon).withColumn("score", 1 / (1 + F.exp(-curve)))
+    curve = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), model.weights[0] + model.weights[1] * model.statistic("passages", "n_words")))
+    scored = _passages(docs, model.lexicon).withColumn("score", 1 / (1 + F.exp(-curve)))
+    return scored.withColumn("passages", F.filter("passages", lambda p: model.excess(p["score"], F.col("n_words")) >= -math.log(SIGNIFICANT)))
 
 
 def held_out(doc_id: Column) -> Column:
