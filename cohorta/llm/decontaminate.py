@@ -11,9 +11,9 @@ looked up, hits are verified token by token, and spans or documents are removed.
 * An empty benchmark leaves every document clean.
 * Input columns are kept; a result column takes the place of an input column of its name.
 
-The benchmark is sent to the executors in blocks of at most ``BLOCK_BYTES`` of text; each
-block is one more pass of the same stage over the documents, so nothing that grows is
-ever broadcast whole and no shuffle is needed.
+The benchmark is sent to the executors in blocks of at most ``BLOCK_BYTES`` of text. Each block
+is a pass over the documents, and what a pass has found is written before the next block is
+sent: one block is alive at a time, and no shuffle is needed. One block needs no writing.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohorta.llm.common import LOWER, bounded_batches, concat_ranges, mix, text_bytes
+from cohorta.llm.common import LOWER, bounded_batches, concat_ranges, discard, lean, mix, staged, text_bytes
 
 NGRAM = 13
 #: Most bytes of benchmark text in one broadcast.
@@ -145,8 +145,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, ngram: int = NGRAM,
     own = {f.name for f in added} | {"n_hit", "contaminated"}
     docs = docs.drop(*[c for c in docs.columns if c.lower() in own])
     out = docs.withColumn("n_words", F.lit(0).cast("long")).withColumn("hit_spans", F.lit(None).cast(added["hit_spans"].dataType)).withColumn("items", F.lit(None).cast(added["items"].dataType))
-    schema = out.schema
+    schema, before = out.schema, None
     for block in _blocks(benchmark, block_bytes):
+        if before is not None:
+            old, out = out, staged(before, "scanned")
+            if hasattr(old, "staged_at"):
+                discard(old)
+            sent.unpersist()
         sent = spark.sparkContext.broadcast(block)
 
         def scan(batches, sent=sent):
@@ -172,7 +177,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, ngram: int = NGRAM,
                 kept |= {"n_words": pa.array(counts, pa.int64()), "hit_spans": pa.array(spans, pa.list_(pa.list_(pa.int32()))), "items": pa.array(items, pa.list_(pa.string()))}
                 yield pa.RecordBatch.from_pydict(kept)
 
-        out = out.mapInArrow(scan, schema)
+        before = out.mapInArrow(lean(scan), schema)
+    out = before
     hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
     return out.withColumn("n_hit", hit).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") >= F.lit(share) * F.col("n_words")))
 

@@ -1,8 +1,10 @@
 """Secret scans: known patterns, and strings that look random rather than written.
 
-Two character Markov models, one of random strings and one of ordinary text, are trained on
-labelled samples of all documents: what the patterns find is random, the rest is ordinary.
-A token's log-likelihood ratio under the two decides.
+Two character Markov models, one of random strings and one of ordinary identifiers, are trained
+on labelled samples of all documents: the values that the patterns find are random, every
+other token (a run of characters that a secret can hold) is an ordinary word or identifier.
+What lies between tokens, and the borders of texts, belong to neither. A token's
+log-likelihood ratio under the two decides.
 
 * Base kinds: assign, access, hex (see the patterns); a match that is too short is dropped
   but still uses up its characters. Added kind: markov, for tokens of any length that do
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohorta.llm.common import bounded_batches, text_bytes
+from cohorta.llm.common import bounded_batches, lean, slices, text_bytes
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -56,9 +58,12 @@ def _value(text: str, kind: int, start: int, end: int) -> str:
     return ASSIGN.match(text, start).group(2) if kind == 0 else text[start:end]
 
 
-def _pairs(raw: np.ndarray) -> np.ndarray:
-    s = _SYMBOL[raw]
-    return np.bincount(s[:-1] * SYMBOLS + s[1:], minlength=SYMBOLS * SYMBOLS).astype(np.int64) if len(s) > 1 else np.zeros(SYMBOLS * SYMBOLS, np.int64)
+def _pairs(raw: bytes) -> np.ndarray:
+    """How often each pair of symbols stands in the tokens, their first and last character paired with the end of a token."""
+    s = _SYMBOL[np.frombuffer(b" " + raw + b" ", np.uint8)]
+    out = np.bincount(s[:-1] * SYMBOLS + s[1:], minlength=SYMBOLS * SYMBOLS).astype(np.int64)
+    out[0] = 0  # no token on either side
+    return out
 
 
 def train(docs: DataFrame) -> np.ndarray | None:
@@ -67,17 +72,18 @@ def train(docs: DataFrame) -> np.ndarray | None:
     def count(batches):
         whole, random = np.zeros(SYMBOLS * SYMBOLS, np.int64), np.zeros(SYMBOLS * SYMBOLS, np.int64)
         for batch in batches:
-            raw, _, _ = text_bytes(batch.column("text"))
-            for low in range(0, len(raw), 1 << 22):
-                whole += _pairs(raw[low : low + (1 << 22) + 1])
-            values = [_value(t, k, a, b) for t in batch.column("text").to_pylist() if t for a, k, b in base_spans(t)]
-            if values:
-                random += _pairs(np.frombuffer(f" {' '.join(values)} ".encode(), np.uint8))
+            for part in slices(batch, 1 << 20):
+                raw, start, end = text_bytes(part.column(0))
+                raw = raw.tobytes()
+                whole += _pairs(b" ".join([raw[a:b] for a, b in zip(start.tolist(), end.tolist())]))
+                values = [_value(t, k, a, b) for t in part.column(0).to_pylist() if t for a, k, b in base_spans(t)]
+                if values:
+                    random += _pairs(" ".join(values).encode())
         at = np.flatnonzero(whole + random)
         yield pa.RecordBatch.from_pydict({"pair": at.astype(np.int32), "whole": whole[at], "random": random[at]})
 
     bounded_batches(docs.sparkSession)
-    sums = docs.select("text").mapInArrow(count, "pair int, whole long, random long").groupBy("pair").agg(F.sum("whole").alias("whole"), F.sum("random").alias("random"))
+    sums = docs.select("text").mapInArrow(lean(count), "pair int, whole long, random long").groupBy("pair").agg(F.sum("whole").alias("whole"), F.sum("random").alias("random"))
     whole, random = np.zeros(SYMBOLS * SYMBOLS), np.zeros(SYMBOLS * SYMBOLS)
     for r in sums.collect():  # SYMBOLS squared rows at most
         whole[r["pair"]], random[r["pair"]] = r["whole"], r["random"]
@@ -132,7 +138,7 @@ def scan_secrets(docs: DataFrame, ratio: np.ndarray | None) -> DataFrame:
             yield pa.RecordBatch.from_pydict(kept | {"secrets": pa.array(rows, kind)})
 
     schema = docs.withColumn("secrets", F.lit(None).cast("array<struct<kind:string,start:int,end:int>>")).schema
-    return docs.mapInArrow(scan, schema)
+    return docs.mapInArrow(lean(scan), schema)
 
 
 def mask_secrets(scanned: DataFrame, mark: str = "[secret]") -> DataFrame:

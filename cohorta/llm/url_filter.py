@@ -8,6 +8,8 @@ under its rarest token.
 
 * Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path:
   then up to ``?``, ``#`` or the end. Null, or without ``://``: both empty, and no token.
+* Tokens of a URL: its host, the host's last label, each of its endings of two labels or more, every
+  path part with its place (digits as 0) and every key of the query.
 * A fixed rule fits its host and all subdomains if the path starts with the rule's path; the
   longest (host and path together) wins.
 * Of the mined rules that match, the most confident wins, then the best supported, then
@@ -23,7 +25,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohorta.llm.common import staged
+from cohorta.llm.common import bounded_batches, discard, lean, staged
 
 #: Verdict, host and path of each rule.
 RULES = [
@@ -108,6 +110,7 @@ def match(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """Adds mined: (confidence, support, n_tokens, verdict) of the best mined rule, or null."""
     kind = "struct<confidence:double,support:double,n_tokens:int,verdict:string>"
     pages = pages.drop(*[c for c in pages.columns if c.lower() == "mined"])
+    bounded_batches(pages.sparkSession)
     out = pages.withColumn("mined", F.lit(None).cast(kind))
     blocks = max(1, -(-rules.count() // BLOCK_RULES))
     for k in range(blocks):
@@ -130,7 +133,11 @@ def match(pages: DataFrame, rules: DataFrame) -> DataFrame:
                 kept = {f.name: batch.column(i) for i, f in enumerate(batch.schema)}
                 yield pa.RecordBatch.from_pydict(kept | {"mined": pa.array(rows, batch.schema.field(at).type)})
 
-        out = out.mapInArrow(run, out.schema)
+        before, out = out, out.mapInArrow(lean(run), out.schema)
+        if k < blocks - 1:  # one pass, with one block, is alive at a time
+            out = staged(out, "matched")
+            if k:
+                discard(before)
     return out
 
 
