@@ -37,6 +37,8 @@ _BITS = 21
 SHARPNESS = 12.0
 #: About the most prototypes of one broadcast (4 KB each).
 BLOCK_LANGUAGES = 4096
+#: Most languages whose floors (some 0.5 KB each) are broadcast; more are joined by shuffle.
+MOST_SENT = 10_000
 UNKNOWN = "und"
 
 
@@ -219,29 +221,32 @@ def _size(text: Column) -> Column:
 
 
 def floors(judged: DataFrame) -> DataFrame:
-    """(lang_pred, _size, _least, _largest): the least cosine a text must have, by language and size.
+    """Of each language (lang_pred) the least cosine by size of text, as an array ``_floor`` of size and least.
 
-    judged: rows of text, lang and what was found. A size's floor is the least of its own and all larger
-    sizes; sizes above the largest take its floor.
+    judged: rows of text, lang and what was found.
     """
     labelled = judged.where((F.col("lang_pred") != UNKNOWN) & F.col("lang").isNotNull())
     least = labelled.groupBy("lang_pred", _size(F.col("text")).alias("size")).agg(F.min("lang_cosine").alias("least"))
-    own = least.groupBy("lang_pred").agg(F.collect_list(F.struct("size", "least")).alias("own"), F.min("size").alias("first"), F.max("size").alias("_largest"))  # 31 sizes at most
-    each = own.select("lang_pred", "own", "_largest", F.explode(F.sequence("first", "_largest")).alias("_size"))
-    return each.select("lang_pred", "_size", F.array_min(F.transform(F.filter("own", lambda x: x["size"] >= F.col("_size")), lambda x: x["least"])).alias("_least"), "_largest")
+    return least.groupBy("lang_pred").agg(F.collect_list(F.struct("size", "least")).alias("_floor"))  # 31 sizes at most
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """The rows of docs (with text and lang) whose language can be told, by profiles of all labelled rows."""
+    """The rows of docs (with text and lang) whose language can be told, by profiles of all labelled rows.
+
+    A size's floor is the least of its own and all larger sizes; sizes above the largest take its floor.
+    """
     prototypes = learn_languages(docs.select("text", "lang"))
     if prototypes.isEmpty():
         return docs.where(F.col("text").rlike(r"\p{L}"))
     judged = staged(identify_language(docs, prototypes), "judged")
-    least = floors(judged)
-    largest = least.groupBy("lang_pred").agg(F.max("_largest").alias("_largest"))
-    sized = judged.join(largest, "lang_pred", "left").withColumn("_size", F.least(_size(F.col("text")), "_largest"))
-    passed = sized.join(least.drop("_largest"), ["lang_pred", "_size"], "left")
-    return passed.where((F.col("lang_pred") != UNKNOWN) & (F.col("lang_cosine") >= F.coalesce("_least", F.lit(-1.0)))).select(*docs.columns)
+    least = staged(floors(judged), "floors")
+    least = F.broadcast(least) if least.count() <= MOST_SENT else least
+    of = lambda c: F.transform("_floor", lambda x: x[c])
+    size = F.least(_size(F.col("text")), F.array_max(of("size")))
+    floor = F.array_min(F.transform(F.filter("_floor", lambda x: x["size"] >= size), lambda x: x["least"]))
+    passed = (F.col("lang_cosine") >= floor) | (size < F.array_min(of("size")))
+    both = judged.where(F.col("lang_pred") != UNKNOWN).join(least, "lang_pred", "left")
+    return both.where(F.col("_floor").isNull() | passed).select(*docs.columns)
 
 
 def held_out(doc_id: Column) -> Column:
