@@ -85,26 +85,32 @@ def decibels(rms: Column, floor: float = -80.0) -> Column:
 
 # --- text and names -----------------------------------------------------------------------------
 
-#: Stream kinds by pattern of the name, in the order that they are tried.
-STREAM_KINDS = [
-    ("tobii", "tobii|gaze|pupil"),
-    ("emotibit", "emotibit|ppg|eda"),
-    ("vicon", "vicon|mocap"),
-    ("markers", "marker|stimul|event"),
-    ("sync", "sync|clock|frame"),
+#: Stream kinds by the beginning of the name, in the order that they are tried.
+STREAM_NAMES = [
+    ("tobii", "(?i)^Tobii[_-]"),
+    ("emotibit", "(?i)^Emotibit[_-]"),
+    ("vicon", "(?i)^Vicon"),
 ]
+SYNC_NAMES = "(?i)^(ffmpeg|dpa)[_-]"
+SYNC_TYPES = ["clock", "ffmpeg_progress"]
 
 
-def stream_kind(name: Column, kind: Column, kinds=STREAM_KINDS) -> Column:
-    """First pattern that matches the name, then the first that matches the type, else ``other``."""
-    tests = [F.when(F.lower(c).rlike(p), k) for c in (name, kind) for k, p in kinds]
-    return F.coalesce(*tests, F.lit("other"))
+def stream_kind(name: Column, kind: Column, own_prefix: str | None = None) -> Column:
+    """Kind by the beginning of the name, else by the whole type; markers are also all of the study's own streams.
+
+    Last, names that speak of an eye tracker anywhere; else ``other``. Null counts as empty.
+    """
+    n, k = F.trim(F.coalesce(name, F.lit(""))), F.lower(F.trim(F.coalesce(kind, F.lit(""))))
+    tests = [F.when(n.rlike(p), F.lit(v)) for v, p in STREAM_NAMES]
+    own = F.lower(n).startswith(own_prefix.lower()) if own_prefix else F.lit(False)
+    tests += [F.when(own | (k == "markers"), "markers"), F.when(n.rlike(SYNC_NAMES) | k.isin(SYNC_TYPES), "sync")]
+    return F.coalesce(*tests, F.when(F.lower(n).rlike("eyetracker|tobii"), "tobii"), F.lit("other"))
 
 
 def seat_of(text: Column) -> Column:
-    """``P1`` to ``P4`` from the first seat number in the text; null if it names none."""
-    n = F.regexp_extract(F.lower(text), r"(?:^|[^a-z0-9])(?:p|participant|seat)[ _-]*([1-4])(?![0-9])", 1)
-    return F.when((n != "") & ~F.lower(text).rlike("moderator|^n/a$"), F.concat(F.lit("P"), n))
+    """``P1`` to ``P4`` from the first seat token in the text, whatever its case; null if it has none."""
+    n = F.regexp_extract(F.lower(F.trim(text)), r"(?:^|[^a-z0-9])(?:p|participant|tablet)[_\- ]?([1-4])(?:$|[^a-z0-9])", 1)
+    return F.when(n != "", F.concat(F.lit("P"), n))
 
 
 def entity(path: Column, key: str, value: str = "[A-Za-z0-9]+") -> Column:
@@ -121,11 +127,18 @@ def session_signature(name: Column) -> Column:
     return F.struct(F.when(date != "", date).alias("date"), pad(number(r"(?:group|grp|gpr)[-_]?0*(\d+)"), "grp-").alias("group"), pad(number(r"run[-_]?0*(\d+)"), "run").alias("run"))
 
 
+#: The device names that a label may have inside.
+DEVICE_NAMES = [
+    r"(jabra[-_]panacast[-_](?:20|50)(?:[-_]cam\d+)?[-_]vid)",
+    r"(dpa[-_][a-z0-9]+(?:[-_][a-z0-9]+)?(?:[-_]aud)?)",
+]
+
+
 def canonical_key(label: Column) -> Column:
-    """Device labels folded to one key: lower case, no separators, no index zeros, no suffix words."""
-    s = F.regexp_replace(F.lower(F.trim(label)), r"[\s_\-./]+", "")
-    s = F.regexp_replace(s, r"(stream|video|audio|device|feed)$", "")
-    return F.regexp_replace(s, r"0+([1-9])", "$1")
+    """Stream and media labels folded to one key: the device's name if there is one, in lower case with ``_`` between words."""
+    raw = F.regexp_replace(F.lower(F.trim(F.coalesce(label, F.lit("")))), "^ffmpeg_progress_", "")
+    named = F.coalesce(*[F.when(F.regexp_extract(raw, p, 1) != "", F.regexp_extract(raw, p, 1)) for p in DEVICE_NAMES], F.regexp_replace(raw, "^acq-", ""))
+    return F.regexp_replace(F.regexp_replace(named, "[^a-z0-9]+", "_"), "^_|_$", "")
 
 
 def plain_name(name: Column) -> Column:
@@ -140,10 +153,11 @@ def item_score(text: Column, scale: dict[str, int], reverse: Column | bool = Fal
 
 
 def age_years(exact: Column, band: Column) -> Column:
-    """A whole number as it is, else the middle of ``a-b`` rounded down, ``a+`` as a; else null."""
-    low, high = (F.regexp_extract(band, r"(\d+)\s*-\s*(\d+)", k).try_cast("int") for k in (1, 2))
-    plus = F.regexp_extract(band, r"(\d+)\s*\+", 1).try_cast("int")
-    return F.coalesce(F.trim(exact).try_cast("int"), F.floor((low + high) / 2).cast("int"), plus)
+    """A number cut to whole years, else of a band ``a-b`` the middle rounded down, of ``a+`` a; else null."""
+    band = F.trim(band)
+    low, high = (F.regexp_extract(band, r"^(\d+) ?- ?(\d+)$", k).try_cast("int") for k in (1, 2))
+    plus = F.regexp_extract(band, r"^(\d+)\+$", 1).try_cast("int")
+    return F.coalesce(finite(F.trim(exact)).try_cast("int"), F.floor((low + high) / 2).cast("int"), plus)
 
 
 def first_match(text: Column, rules: list[tuple[str, str]], otherwise: str = "n/a") -> Column:
@@ -245,18 +259,22 @@ def rescale(c: Column, mean: Column, sd: Column, to_mean: float = 6.22, to_sd: f
 # --- skeletons ----------------------------------------------------------------------------------
 
 
-def gesture_flags(joint: dict[str, list[Column]], confidence: dict[str, Column], least: float, near: float, reach: float) -> dict[str, Column]:
-    """Hand at head, hand at hip, arm stretched, for each side and both; unsure joints give false."""
+def gesture_flags(joint: dict[str, list[Column]], confidence: dict[str, Column], least: float, near_head: float, near_chest: float, reach: float) -> dict[str, Column]:
+    """Hand at head (nose), hand at chest (middle of the hips), arm stretched, for each side, and both hands at the head.
+
+    An arm counts if its shoulder, elbow and wrist are all there and sure. Without a nose or a
+    middle of the hips nothing is near them; an arm without length is not stretched.
+    """
     far = lambda a, b: F.sqrt(dot([x - y for x, y in zip(joint[a], joint[b])], [x - y for x, y in zip(joint[a], joint[b])]))
-    sure = lambda *names: F.coalesce(F.least(*[confidence[n] for n in names]) >= least, F.lit(False))
     out: dict[str, Column] = {}
     for side in ("left", "right"):
-        wrist, hip, elbow, shoulder = (f"{side}_{p}" for p in ("wrist", "hip", "elbow", "shoulder"))
-        out[f"{side}_head"] = sure(wrist, "head") & (far(wrist, "head") <= near)
-        out[f"{side}_hip"] = sure(wrist, hip) & (far(wrist, hip) <= near)
-        out[f"{side}_reach"] = sure(wrist, elbow, shoulder) & (far(wrist, shoulder) >= reach * (far(shoulder, elbow) + far(elbow, wrist)))
-    for what in ("head", "hip", "reach"):
-        out[f"both_{what}"] = out[f"left_{what}"] & out[f"right_{what}"]
+        arm = [f"{side}_{p}" for p in ("shoulder", "elbow", "wrist")]
+        sure = F.coalesce(F.least(*[F.when(joint[n][0].isNotNull() & joint[n][1].isNotNull() & joint[n][2].isNotNull(), F.coalesce(confidence[n], F.lit(0.0))).otherwise(-1.0) for n in arm]) >= least, F.lit(False))
+        length = far(arm[0], arm[1]) + far(arm[1], arm[2])
+        out[f"{side}_head"] = sure & F.coalesce(far(arm[2], "nose") <= near_head, F.lit(False))
+        out[f"{side}_chest"] = sure & F.coalesce(far(arm[2], "mid_hip") <= near_chest, F.lit(False))
+        out[f"{side}_stretched"] = sure & F.coalesce((length > 1e-6) & (far(arm[0], arm[2]) >= reach * length), F.lit(False))
+    out["both_head"] = out["left_head"] & out["right_head"]
     return out
 
 

@@ -112,7 +112,7 @@ def tiered_starts(starts: DataFrame, cameras: DataFrame, camera: str, tier: str,
     """
     n = starts.groupBy(tier).agg(F.countDistinct(camera).alias("_n"))
     best = n.agg(F.max_by(tier, F.struct("_n", (-F.col(tier)).alias("_t"))).alias(tier))
-    own = starts.join(F.broadcast(best), tier)
+    own = starts.join(F.broadcast(best), tier)  # one row
     last = own.agg(F.max(start).alias("_last"))
     skip = own.crossJoin(F.broadcast(last)).select(camera, F.round((F.col("_last") - F.col(start)) * fps).cast("long").alias("skip"))
     return cameras.select(camera).join(skip, camera, "left").withColumn("skip", F.coalesce("skip", F.lit(0).cast("long")))

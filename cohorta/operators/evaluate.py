@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohorta.operators.group import average_rank, pearson
+from cohorta.operators.group import average_ranks, pearson
 
 
 def tertile_thresholds(df: DataFrame, keys: list[str], c: str) -> DataFrame:
     """t1 and t2: half way from the sorted value at n // 3 (2n // 3) to the next lower distinct value.
 
-    Without a lower value the threshold is that value less 0.5; t2 is kept above t1.
+    Without a lower value the threshold is that value less 0.5. A t2 that is not above t1 moves
+    half way from t1 to the first value above t1 + 0.5, or to t1 + 1. Distinct values are counted first.
     """
     w = Window.partitionBy(*keys)
-    ok = df.where(F.col(c).isNotNull()).withColumn("_r", F.row_number().over(w.orderBy(c)) - 1).withColumn("_n", F.count("*").over(w))
-    at = ok.groupBy(*keys).agg(F.max(F.when(F.col("_r") == F.floor(F.col("_n") / 3), F.col(c))).alias("_b1"), F.max(F.when(F.col("_r") == F.floor(2 * F.col("_n") / 3), F.col(c))).alias("_b2"))
-    low = df.join(at, keys).groupBy(*keys, "_b1", "_b2").agg(F.max(F.when(F.col(c) < F.col("_b1"), F.col(c))).alias("_l1"), F.max(F.when(F.col(c) < F.col("_b2"), F.col(c))).alias("_l2"))
-    t1, t2 = F.coalesce((F.col("_b1") + F.col("_l1")) / 2, F.col("_b1") - 0.5), F.coalesce((F.col("_b2") + F.col("_l2")) / 2, F.col("_b2") - 0.5)
-    return low.select(*keys, t1.alias("t1"), F.when(t2 > t1, t2).otherwise(t1 + 1).alias("t2"))
+    n = df.where(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.count("*").alias("_m"))
+    up = w.orderBy(c)
+    n = n.withColumn("_z", F.sum("_m").over(up)).withColumn("_n", F.sum("_m").over(w)).withColumn("_l", F.lag(c).over(up))
+    bound = lambda share: F.max(F.when((F.floor(share * F.col("_n") / 3) < F.col("_z")) & (F.floor(share * F.col("_n") / 3) >= F.col("_z") - F.col("_m")), F.coalesce((F.col(c) + F.col("_l")) / 2, F.col(c) - 0.5)))
+    t = n.withColumn("_1", bound(1).over(w)).withColumn("_2", bound(2).over(w))
+    t = t.groupBy(*keys).agg(F.first("_1").alias("t1"), F.first("_2").alias("_t"), F.min(F.when(F.col(c) > F.col("_1") + 0.5, F.col(c))).alias("_above"))
+    return t.select(*keys, "t1", F.when(F.col("_t") > F.col("t1"), F.col("_t")).otherwise(F.coalesce((F.col("t1") + F.col("_above")) / 2, F.col("t1") + 1)).alias("t2"))
 
 
 def percentile_thresholds(df: DataFrame, keys: list[str], c: str, least: int = 3, fixed: tuple[float, float] = (3.0, 6.0)) -> DataFrame:
@@ -70,11 +75,19 @@ def hash_order(keys: list[str], seed: int) -> Column:
     return F.xxhash64(F.lit(seed), *keys)
 
 
+def numbered(df: DataFrame, hashed: Column, name: str = "_r") -> DataFrame:
+    """Adds a row's number, from 1, in the order of a 64-bit hash: counted within 4,096 ranges of it, then ranges added up."""
+    cut = df.withColumn("_h", hashed).withColumn("_g", F.shiftright("_h", 52))
+    sizes = cut.groupBy("_g").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_b", F.sum("_n").over(Window.orderBy("_g")) - F.col("_n")).drop("_n")  # 4,096 rows at most
+    return cut.join(before, "_g").withColumn(name, F.col("_b") + F.row_number().over(Window.partitionBy("_g").orderBy("_h"))).drop("_h", "_g", "_b")
+
+
 def subject_split(df: DataFrame, subject: str, test: float, val: float, seed: int) -> DataFrame:
     """Adds role, whole subjects at a time, in hashed order (one subject at least for test and val)."""
     s = df.select(subject).distinct()
     n = s.agg(F.count("*").alias("_n"))
-    r = s.withColumn("_r", F.row_number().over(Window.orderBy(hash_order([subject], seed)))).crossJoin(F.broadcast(n))  # subjects only
+    r = numbered(s, hash_order([subject], seed)).crossJoin(F.broadcast(n))  # one row
     a = F.greatest(F.floor(F.col("_n") * test), F.lit(1))
     b = a + F.greatest(F.floor(F.col("_n") * val), F.lit(1))
     return df.join(r.select(subject, F.when(F.col("_r") <= a, "test").when(F.col("_r") <= b, "val").otherwise("train").alias("role")), subject)
@@ -87,10 +100,17 @@ def chronological_split(df: DataFrame, subject: str, order: list[str], train: fl
     return df.withColumn("role", F.when((n < least) | (r <= F.floor(n * train)), "train").when(r <= F.floor(n * (train + val)), "val").otherwise("test"))
 
 
-def leave_one_out(df: DataFrame, group: str) -> DataFrame:
-    """Every row once a fold, as test in its own group's fold and train in the others."""
-    folds = df.select(F.col(group).alias("fold")).distinct()
-    return df.crossJoin(F.broadcast(folds)).withColumn("role", F.when(F.col(group) == F.col("fold"), "test").otherwise("train"))
+def leave_one_out(df: DataFrame, group: str, c: str) -> DataFrame:
+    """Of each group's fold the rows and mean of its test set (the group) and training set (all others).
+
+    A training set's figures are the totals less the group's own, so no row is copied. A fold
+    without training rows has only its test row.
+    """
+    own = df.groupBy(F.col(group).alias("fold")).agg(F.count("*").alias("n"), F.sum(c).alias("_s"), F.count(c).alias("_m"))
+    whole = own.agg(F.sum("n").alias("_tn"), F.sum("_s").alias("_ts"), F.sum("_m").alias("_tm"))  # one row
+    rest = own.crossJoin(F.broadcast(whole)).select("fold", F.lit("train").alias("role"), (F.col("_tn") - F.col("n")).alias("n"), (F.col("_ts") - F.coalesce("_s", F.lit(0))).alias("_s"), (F.col("_tm") - F.col("_m")).alias("_m"))
+    test = own.select("fold", F.lit("test").alias("role"), "n", "_s", "_m")
+    return test.unionByName(rest.where("n > 0")).select("fold", "role", "n", F.try_divide("_s", "_m").alias("mean"))
 
 
 def block_folds(df: DataFrame, subject: str, order: str, k: int) -> DataFrame:
@@ -126,31 +146,39 @@ def ordinal_metrics(df: DataFrame, keys: list[str], label: str, pred: str, class
     """MAE, Spearman (undefined: 0), quadratic weighted kappa, share within 1, 3-class accuracy."""
     d = F.col(pred) - F.col(label)
     three = lambda c: F.when(F.col(c) <= cuts[0], 0).when(F.col(c) <= cuts[1], 1).otherwise(2)
-    r = df.where(F.col(label).isNotNull() & F.col(pred).isNotNull()).withColumn("_rl", average_rank(label, keys)).withColumn("_rp", average_rank(pred, keys)).withColumn("_q", F.least(F.greatest(F.round(pred), F.lit(1)), F.lit(classes)))
+    r = df.where(F.col(label).isNotNull() & F.col(pred).isNotNull())
+    r = average_ranks(average_ranks(r, label, keys, "_rl"), pred, keys, "_rp").withColumn("_q", F.least(F.greatest(F.round(pred), F.lit(1)), F.lit(classes)))
     # The expected squared distance of independent draws needs only the moments of both sides.
     observed = F.avg((F.col("_q") - F.col(label)) ** 2)
     expected = F.var_pop("_q") + F.var_pop(label) + (F.avg("_q") - F.avg(label)) ** 2
     return r.groupBy(*keys).agg(F.avg(F.abs(d)).alias("mae"), F.coalesce(pearson("_rl", "_rp", 2), F.lit(0.0)).alias("spearman"), F.when(expected > 0, 1 - observed / expected).otherwise(0.0).alias("qwk"), F.avg((F.abs(d) <= 1).cast("double")).alias("within_1"), F.avg((three(label) == three(pred)).cast("double")).alias("accuracy_3"))
 
 
-def bootstrap(df: DataFrame, label: str, pred: str, row: str, classes: int, replicates: int = 1000, seed: int = 0) -> DataFrame:
-    """2.5 and 97.5 percentiles of macro F1 over resamples (Poisson draws, seeded by row and replicate).
+def bootstrap(df: DataFrame, label: str, pred: str, classes: int, replicates: int = 1000, seed: int = 0) -> DataFrame:
+    """2.5 and 97.5 percentiles of macro F1 over resamples of n rows out of n.
 
-    Draws are made for each distinct (row, replicate) by hash, so there is no second table.
+    Macro F1 depends only on how often each label meets each prediction, and resampling rows
+    draws these counts from a multinomial. So the rows are read once, and each replicate is
+    a seeded draw of at most classes * (classes + 1) counts. Predictions may be any number.
     """
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(row), F.col("rep")), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    p, total, draws = 0.36787944117144233, 0.36787944117144233, F.lit(0)
-    for k in range(1, 8):
-        draws = F.when(u > total, k).otherwise(draws)
-        p /= k
-        total += p
-    each = df.where(F.col(label).between(0, classes - 1)).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_w", draws)
-    f1 = F.lit(0.0)
-    for k in range(classes):
-        tp = F.sum(F.when((F.col(label) == k) & (F.col(pred) == k), F.col("_w")).otherwise(0))
-        both = F.sum(F.when(F.col(label) == k, F.col("_w")).otherwise(0)) + F.sum(F.when(F.col(pred) == k, F.col("_w")).otherwise(0))
-        f1 = f1 + F.when(both > 0, 2 * tp / both).otherwise(0.0)
-    return each.groupBy("rep").agg((f1 / classes).alias("f1")).agg(F.percentile("f1", F.lit(0.025)).alias("low"), F.percentile("f1", F.lit(0.975)).alias("high"))
+    known = F.when(F.col(pred).between(0, classes - 1), F.col(pred)).otherwise(classes).cast("int").alias("p")
+    cells = df.where(F.col(label).between(0, classes - 1)).groupBy(F.col(label).cast("int").alias("y"), known).agg(F.count("*").alias("n")).collect()
+    table = np.zeros((classes, classes + 1))
+    for r in cells:
+        table[r["y"], r["p"]] = r["n"]
+    n = int(table.sum())
+
+    def draw(frames):
+        for f in frames:
+            out = []
+            for rep in f["id"].tolist():
+                t = np.random.default_rng([seed, rep]).multinomial(n, table.ravel() / max(n, 1)).reshape(table.shape)
+                both = t.sum(axis=1) + t[:, :classes].sum(axis=0)
+                out.append(float(np.mean(np.where(both > 0, 2 * np.diag(t) / np.maximum(both, 1), 0.0))) if n else None)
+            yield pd.DataFrame({"f1": out})
+
+    f1 = df.sparkSession.range(replicates).mapInPandas(draw, "f1 double")
+    return f1.agg(F.percentile("f1", F.lit(0.025)).alias("low"), F.percentile("f1", F.lit(0.975)).alias("high"))
 
 
 def effect_size(df: DataFrame, keys: list[str], group: Column, c: str) -> DataFrame:

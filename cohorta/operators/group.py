@@ -59,12 +59,15 @@ def series(df: DataFrame, keys: list[str], c: str) -> DataFrame:
     return a.withColumn("low", F.col("mean") - Z95 * F.col("sem")).withColumn("high", F.col("mean") + Z95 * F.col("sem")).withColumn("effect", F.when(F.col("sd") > 0, F.col("mean") / F.col("sd")))
 
 
-def average_rank(c: str, keys: list[str]) -> Column:
-    """Rank of a value in its group; equal values share the mean of their ranks. Null stays."""
-    w = Window.partitionBy(*keys)
-    r = F.rank().over(w.orderBy(F.col(c).asc_nulls_last()))
-    ties = F.count("*").over(Window.partitionBy(*keys, c))
-    return F.when(F.col(c).isNotNull(), r + (ties - 1) / 2)
+def average_ranks(df: DataFrame, c: str, keys: list[str], name: str) -> DataFrame:
+    """Adds the rank of a value in its group; equal values share the mean of their ranks, null has none.
+
+    Values are counted first, so only a group's distinct values are sorted together.
+    """
+    w = Window.partitionBy(*keys).orderBy(c)
+    n = df.where(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.count("*").alias("_m"))
+    r = n.withColumn(name, F.sum("_m").over(w) - (F.col("_m") - 1) / 2).drop("_m")
+    return df.join(r, [*keys, c], "left")
 
 
 def pair_correlations(df: DataFrame, row: list[str], features: list[str], least: int = 5) -> DataFrame:
@@ -74,7 +77,7 @@ def pair_correlations(df: DataFrame, row: list[str], features: list[str], least:
     """
     pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for i, a in enumerate(sorted(features)) for b in sorted(features)[i + 1 :]]
     each = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").where("x is not null and y is not null")
-    ranked = each.withColumn("rx", average_rank("x", ["a", "b"])).withColumn("ry", average_rank("y", ["a", "b"]))
+    ranked = average_ranks(average_ranks(each, "x", ["a", "b"], "rx"), "y", ["a", "b"], "ry")
     return ranked.groupBy("a", "b").agg(F.count("*").alias("n"), pearson("x", "y", least).alias("pearson"), pearson("rx", "ry", least).alias("spearman")).where(F.col("n") >= least)
 
 
@@ -158,7 +161,7 @@ def item_means(df: DataFrame, keys: list[str], item: str, value: str, items: lis
 
 def trait_scores(answers: DataFrame, person: str, item: str, score: str, key: DataFrame) -> DataFrame:
     """Mean, to 3 decimals, of the scored items of each domain (key: item, domain)."""
-    return answers.join(F.broadcast(key), item).where(F.col(score).isNotNull()).groupBy(person, "domain").agg(F.round(F.avg(score), 3).alias("score"))
+    return answers.join(key, item).where(F.col(score).isNotNull()).groupBy(person, "domain").agg(F.round(F.avg(score), 3).alias("score"))
 
 
 def rolled_up(df: DataFrame, sets: list[list[str]], aggs: list[Column]) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def by_group(df: DataFrame, keys: list[str], order: str, work: Callable[[pd.DataFrame], dict], schema: str) -> DataFrame:
@@ -57,10 +58,10 @@ def low_pass(x: np.ndarray, rate: float, cutoff: float) -> np.ndarray:
 
 
 def peaks(x: np.ndarray, distance: int, height: float) -> list[int]:
-    """Local maxima above ``height``, the earlier first, at least ``distance`` rows apart."""
+    """Local maxima above ``height``, the earlier first, at least ``distance`` rows apart; of a plateau its last row."""
     out: list[int] = []
     for i in range(1, len(x) - 1):
-        if x[i] > height and x[i] > x[i - 1] and x[i] >= x[i + 1] and (not out or i - out[-1] >= distance):
+        if x[i] > height and x[i] >= x[i - 1] and x[i] > x[i + 1] and (not out or i - out[-1] >= distance):
             out.append(i)
     return out
 
@@ -106,18 +107,18 @@ def pulse(rows: pd.DataFrame, value: str, rate: float, expected_per_minute: floa
     apart = max(1, int(0.5 * rate * 60 / expected_per_minute))
     best = {"rate": None, "rmssd": None, "sdnn": None, "pnn50": None, "quality": 0.0}
     for sign in (1, -1):
-        at = peaks(sign * band, apart, 0.3 * band.std())
-        gaps = np.diff(at) * 1000 / rate
-        if len(gaps) < 3:
+        gaps = np.diff(peaks(sign * band, apart, 0.3 * band.std())) * 1000 / rate
+        likely = gaps[(gaps >= 300) & (gaps <= 2000)]
+        mid = np.median(likely) if len(likely) else 0.0
+        clean = likely[np.abs(likely - mid) <= max(250, 0.25 * mid)]
+        if len(gaps) < 2 or len(likely) < 2 or len(clean) < 2:
             continue
-        mid = np.median(gaps)
-        clean = gaps[(gaps >= 300) & (gaps <= 2000) & (np.abs(gaps - mid) <= max(250, 0.25 * mid))]
-        if len(clean) < 3:
-            continue
-        bpm, d = 60_000 / clean.mean(), np.diff(clean)
-        quality = 0.4 * len(clean) / len(gaps) + 0.3 * max(0.0, 1 - abs(bpm - expected_per_minute) / expected_per_minute) + 0.2 * max(0.0, 1 - clean.std() / clean.mean()) + 0.1 * min(1.0, len(clean) / 30)
+        bpm, d = 60_000 / np.median(clean), np.diff(clean)
+        rmssd = float(np.sqrt((d**2).mean()))
+        score = lambda miss, most: float(np.clip(1 - miss / most, 0, 1))
+        quality = 0.4 * len(clean) / len(gaps) + 0.3 * score(abs(bpm - expected_per_minute), 30) + 0.2 * score(rmssd, 300) + 0.1 * min(1.0, len(clean) / 30)
         if quality > best["quality"]:
-            best = {"rate": bpm, "rmssd": float(np.sqrt((d**2).mean())), "sdnn": float(clean.std(ddof=1)), "pnn50": float((np.abs(d) > 50).mean()), "quality": quality}
+            best = {"rate": float(bpm), "rmssd": rmssd, "sdnn": float(clean.std(ddof=1)), "pnn50": float((np.abs(d) > 50).mean() * 100), "quality": quality}
     return best
 
 
@@ -144,29 +145,53 @@ def hull_area(rows: pd.DataFrame, x: str, y: str) -> dict:
 
 
 def gaussian_posterior(t: np.ndarray, seen_t: np.ndarray, seen_y: np.ndarray, noise: np.ndarray, mean: float, rate: float, sd: float) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and sd at times t of a mean-reverting process, given noisy observations; the prior without any."""
-    if not len(seen_t):
-        return np.full(len(t), mean), np.full(len(t), sd)
-    k = lambda a, b: sd**2 * np.exp(-rate * np.abs(a[:, None] - b[None, :]))
-    solve = np.linalg.solve(k(seen_t, seen_t) + np.diag(noise**2), np.column_stack((seen_y - mean, k(seen_t, t))))
-    cross = k(t, seen_t)
-    return mean + cross @ solve[:, 0], np.sqrt(np.maximum(sd**2 - np.einsum("ij,ji->i", cross, solve[:, 1:]), 1e-12))
+    """Mean and sd at times t of a mean-reverting process, given noisy observations; the prior without any.
+
+    The process is Markov, so one pass forward in time and one back do, whatever the number
+    of observations.
+    """
+    at = np.concatenate((seen_t, t))
+    order = np.argsort(at, kind="stable")
+    n, m = len(order), len(seen_t)
+    keep = np.exp(-rate * np.diff(at[order], prepend=at[order[:1]]))
+    ahead_m, ahead_v, own_m, own_v = (np.empty(n) for _ in range(4))
+    x, v = 0.0, sd**2
+    for k, i in enumerate(order.tolist()):
+        a = keep[k] if k else 1.0
+        x, v = a * x, a * a * v + (1 - a * a) * sd**2
+        ahead_m[k], ahead_v[k] = x, v
+        if i < m:
+            gain = v / (v + noise[i] ** 2)
+            x, v = x + gain * (seen_y[i] - mean - x), (1 - gain) * v
+        own_m[k], own_v[k] = x, v
+    for k in range(n - 2, -1, -1):
+        back = keep[k + 1] * own_v[k] / ahead_v[k + 1] if ahead_v[k + 1] > 0 else 0.0
+        own_m[k] += back * (own_m[k + 1] - ahead_m[k + 1])
+        own_v[k] += back * back * (own_v[k + 1] - ahead_v[k + 1])
+    mu, var = np.empty(n), np.empty(n)
+    mu[order], var[order] = own_m, own_v
+    return mean + mu[m:], np.sqrt(np.maximum(var[m:], 1e-12))
 
 
 def process_posterior(queries: DataFrame, observations: DataFrame, keys: list[str], mean: float, rate: float, sd: float) -> DataFrame:
-    """mu and sigma of each query (keys, t) from its key's observations (keys, t, y, noise)."""
+    """mu and sigma of each query (keys, t) from its key's observations (keys, t, y, noise).
+
+    A key without observations gets the prior, one without queries no row.
+    """
     types = dict(queries.dtypes)
 
     def run(key, q, o):
         if q.empty:  # an empty side has no columns
-            return pd.DataFrame(columns=[*keys, "t", "mu", "sigma"])
+            return pd.DataFrame({c: [] for c in (*keys, "t", "mu", "sigma")})
         q = q.sort_values("t")
-        seen = [o[c].to_numpy(float) for c in ("t", "y", "noise")] if len(o) else [np.zeros(0)] * 3
+        seen = [np.zeros(0)] * 3 if o.empty else [o[c].to_numpy(float) for c in ("_t", "_y", "_noise")]
         mu, s = gaussian_posterior(q["t"].to_numpy(float), *seen, mean, rate, sd)
         return pd.DataFrame({**dict(zip(keys, key)), "t": q["t"], "mu": mu, "sigma": s})
 
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + f", t {types['t']}, mu double, sigma double"
-    return queries.select(*keys, "t").groupBy(*keys).cogroup(observations.select(*keys, "t", "y", "noise").groupBy(*keys)).applyInPandas(run, schema)
+    # Columns of the two sides that stem from one table would be taken for each other, and one of them dropped.
+    seen = observations.select(*[F.col(k).alias(f"_{k}") for k in keys], *[F.col(c).alias(f"_{c}") for c in ("t", "y", "noise")])
+    return queries.select(*keys, "t").groupBy(*keys).cogroup(seen.groupBy(*[f"_{k}" for k in keys])).applyInPandas(run, schema)
 
 
 def triangulate(detections: DataFrame, cameras: DataFrame, keys: list[str]) -> DataFrame:

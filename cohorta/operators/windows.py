@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohorta.operators.joins import range_join
+
 
 def rolling_windows(df: DataFrame, keys: list[str], us: str, width_us: int, step_us: int) -> DataFrame:
     """Each sample once for every window ``[start, start + width)`` of its key that holds it.
@@ -23,13 +25,13 @@ def rolling_windows(df: DataFrame, keys: list[str], us: str, width_us: int, step
     return out.withColumn("window_start", F.col("_first") + F.col("window") * step_us).drop("_low", "_high", "_first")
 
 
-def task_anchored_windows(samples: DataFrame, tasks: DataFrame, keys: list[str], us: str, width_us: int, step_us: int, least: int = 20, slack_us: int = 1000) -> DataFrame:
+def task_anchored_windows(samples: DataFrame, tasks: DataFrame, keys: list[str], us: str, width_us: int, step_us: int, least: int = 20, slack_us: int = 1000, bucket: int = 3_600_000_000) -> DataFrame:
     """Windows from each task's start to its end, with the bounds of the samples that they hold.
 
     tasks: keys, task, start_us, end_us. Windows of fewer than ``least`` samples go. Gives
-    keys, task, window, n, first_us, last_us, centre_us (whole mean).
+    keys, task, window, n, first_us, last_us, centre_us (whole mean). ``bucket`` is about a task's length.
     """
-    within = samples.join(F.broadcast(tasks), keys).where((F.col(us) >= F.col("start_us")) & (F.col(us) < F.col("end_us")))
+    within = range_join(samples, tasks, keys, us, "start_us", "end_us", bucket)
     since = F.col(us) - F.col("start_us")
     last = F.floor((F.col("end_us") - F.col("start_us") + slack_us - width_us) / step_us)
     low, high = F.greatest(F.lit(0), F.floor((since - width_us) / step_us) + 1), F.least(F.floor(since / step_us), last)

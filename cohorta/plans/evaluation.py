@@ -87,8 +87,7 @@ def ordinal_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _labelled(spark, sf_dir).withColumn("row", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    return ev.bootstrap(rows, "y", "p", "row", 3, 100, 7)
+    return ev.bootstrap(_labelled(spark, sf_dir), "y", "p", 3, seed=7)
 
 
 @query(f"WITH {LABELS_SQL} SELECT l_returnflag, round((avg(l_quantity) FILTER (WHERE p = 2) - avg(l_quantity) FILTER (WHERE p <> 2)) / sqrt((var_pop(l_quantity) FILTER (WHERE p = 2) + var_pop(l_quantity) FILTER (WHERE p <> 2)) / 2), 8) AS d FROM labelled GROUP BY ALL")
@@ -128,7 +127,7 @@ def chronological_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_with("f AS (SELECT DISTINCT seat AS fold FROM samples)") + " SELECT fold, CASE WHEN fold = seat THEN 'test' ELSE 'train' END AS role, count(*) AS n, round(avg(x), 9) AS mean FROM samples, f GROUP BY ALL")
 def leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each seat's rows as the test set once: the sizes and means of all folds."""
-    return ev.leave_one_out(samples(spark, sf_dir), "seat").groupBy("fold", "role").agg(F.count("*").alias("n"), F.round(F.avg("x"), 9).alias("mean"))
+    return ev.leave_one_out(samples(spark, sf_dir), "seat", "x").withColumn("mean", F.round("mean", 9))
 
 
 @query(_with("s AS (SELECT participant, row_number() OVER (ORDER BY min(event_id), participant) - 1 AS r, greatest(count(*) OVER () // 5, 1) AS size FROM samples GROUP BY participant)")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohorta.plans import clocks, evaluation, features, groups, joins, scalars, windows
+from cohorta.plans import clocks, context, evaluation, features, groups, joins, scalars, states, windows
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (windows, joins, features, groups, clocks, evaluation, scalars):
+for _part in (windows, joins, features, groups, clocks, evaluation, scalars, context, states):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL
 
