@@ -52,7 +52,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*written: DataFrame) -> None:
-    """Deletes the folders of staged frames that no frame still to be run reads."""
+    """Deletes the folders of staged frames that no frame still to be run reads.
+
+    Shuffle files of the jobs that wrote them go when the driver's JVM has collected what refers
+    to them, which it is asked to do here, so that they don't pile up beside the next steps'.
+    """
+    if written:
+        written[0].sparkSession.sparkContext._jvm.System.gc()
     for df in written:
         path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_at)
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

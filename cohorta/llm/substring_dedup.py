@@ -13,7 +13,7 @@ always meet in one shard, and consecutive starts with one anchor travel as one s
 
 1. A pass finds anchors that occur in two documents and marks them in a bit set of fixed
    size; the second pass lets only spans with a marked anchor through (some others too).
-2. Equal spans stand for one: they are aggregated (map-side, by a 128-bit cryptographic hash
+2. Equal spans stand for one: they are aggregated (map-side, by a 96-bit cryptographic hash
    of their bytes) to their first document, and every start of a later copy has a previous
    factor as long as the span.
 3. Where an anchor has several different spans, the first document's copies of each meet in a
@@ -160,14 +160,14 @@ def _shared_spans(docs: DataFrame, least: int, gram: int) -> DataFrame:
                 key = (v >> np.uint64(32 - bits)).astype(np.uint32).astype(np.int64) % own
                 hit = np.flatnonzero(sent.value[(v >> np.uint64(64 - bits)).astype(np.int64), key >> 3] >> (key & 7).astype(np.uint8) & 1)
                 whole, at, size = raw.tobytes(), at[hit], n[hit] + (least - 1)
-                names = np.frombuffer(b"".join([hashlib.blake2b(whole[a : a + k], digest_size=16).digest() for a, k in zip(at.tolist(), size.tolist())]), "<i8").reshape(-1, 2)
+                names = np.frombuffer(b"".join([hashlib.blake2b(whole[a : a + k], digest_size=12).digest() for a, k in zip(at.tolist(), size.tolist())]), [("s1", "<i8"), ("s2", "<i4")])
                 doc, t = np.asarray(part.column(0)).astype(np.int64), np.asarray(part.column(2)).astype(np.int64)
                 yield pa.RecordBatch.from_pydict({
-                    "v": v[hit].astype(np.int64), "s1": names[:, 0].copy(), "s2": names[:, 1].copy(), "doc": doc[row[hit]], "t": t[row[hit]],
+                    "v": v[hit].astype(np.int64), "s1": names["s1"].copy(), "s2": names["s2"].copy(), "doc": doc[row[hit]], "t": t[row[hit]],
                     "lo": lo[hit].astype(np.int32), "n": n[hit].astype(np.int32),
                 })
 
-    return docs.mapInArrow(lean(run), "v long, s1 long, s2 long, doc long, t long, lo int, n int")
+    return docs.mapInArrow(lean(run), "v long, s1 long, s2 int, doc long, t long, lo int, n int")
 
 
 def previous_smaller(value: np.ndarray, first: np.ndarray) -> np.ndarray:
