@@ -277,8 +277,7 @@ def _with_bytes(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     """Adds its bytes to each wanted span (route, open, doc, t, lo, n); each text is read once."""
     by_doc = wanted.groupBy("doc", "t").agg(F.collect_list(F.struct("route", "open", "lo", "n")).alias("spans"))
     ids = by_doc.select("doc").distinct()
-    # Rows that share an id and a text need only one of them.
-    texts = IdFilter(ids).semi_join(docs, ids, "doc").join(by_doc, ["doc", "t"]).select("doc", "t", "text", "spans")
+    texts = IdFilter(ids).maybe(docs, "doc", True).join(by_doc, ["doc", "t"]).select("doc", "t", "text", "spans")  # texts are shuffled once
 
     def cut(batches):
         for batch in batches:
