@@ -3,8 +3,8 @@
 1. A ball tree of at most ``TOP_SHARDS`` leaves, fitted on a bounded sample of ``SAMPLE`` vectors,
    deals every vector to the leaf with the nearest centre; a leaf of many vectors is cut
    into shards of about ``SHARD_ROWS``. So near vectors share a shard, and a shard is a ball.
-2. Each query searches its home shard first. In a shard's own ball tree it opens nodes in
-   order of the bound q.c + |q| r and stops when no open node can reach the k-th score.
+2. Each query searches its home shard first. In a shard's own ball tree nodes are opened in
+   order of the bound q.c + |q| r, for the queries whose bound reaches their k-th score only.
 3. Queries with their k-th scores then go in broadcast blocks of ``QUERY_BYTES`` to all
    shards. A shard whose ball cannot reach a query's k-th score is passed over; a task
    hands the k-th scores that it finds on to its next shards and sends k rows a query.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from cohorta.llm.common import bounded_batches, discard, lean, staged
 
-SHARD_ROWS, LEAF, TOP_SHARDS = 4096, 48, 1024
+SHARD_ROWS, LEAF, TOP_SHARDS = 4096, 128, 1024
 #: Most rows of the sample that deals vectors to shards, and bytes of queries in one broadcast.
 SAMPLE, QUERY_BYTES = 20_000, 16 << 20
 SCALE, K, EVERY = 256, 5, 50
@@ -74,33 +74,40 @@ class BallTree:
         size = np.sqrt((q * q).sum(axis=-1))
         return q @ self.centre[node] + size * self.radius[node] * (1 + 1e-9) + 1e-6 * (1 + size)
 
-    def search(self, q: np.ndarray, names: list[tuple[int, int]], own: int, k: int, least: float) -> list[tuple[int, int, int]]:
-        """The k best (score, -id, row) of other rows that score ``least`` or more; names: (id, row) in the tree's order."""
-        best: list[tuple[int, int, int]] = []  # a heap: the worst on top
-        heap = [(-float(self.bounds(q)), 0)]
-        while heap:
-            at_most, node = heapq.heappop(heap)
-            worst = best[0][0] if len(best) == k else least
-            if -at_most < worst:
-                break
+    def search(self, q: np.ndarray, own: np.ndarray, names: list[tuple[int, int]], found: list[list], k: int) -> None:
+        """Branch and bound for all queries (rows of ``q``) at once.
+
+        A node is opened for the queries whose bound reaches their current k-th score, the child with the
+        larger bounds first. found: of each query a heap of its k best (score, -id, row), the
+        worst on top; names: (id, row) in the tree's order; own: the queries' rows.
+        """
+        worst = np.array([h[0][0] if len(h) == k else -math.inf for h in found])
+        stack = [(0, np.arange(len(q)))]
+        while stack:
+            node, ask = stack.pop()
+            ask = ask[self.bounds(q[ask], node) >= worst[ask]]
+            if not len(ask):
+                continue
             if self.child[node]:
-                for c in self.child[node]:
-                    u = float(self.bounds(q, c))
-                    if u >= worst:
-                        heapq.heappush(heap, (-u, c))
+                stack += [(c, ask) for c in sorted(self.child[node], key=lambda c: float(self.bounds(q[ask], c).mean()))]
                 continue
             a, b = self.span[node]
-            score = self.rows[a:b] @ q
-            for j in np.flatnonzero(score >= worst).tolist():
-                i, row = names[a + j]
-                entry = (int(score[j]), -i, row)
-                if row == own:
-                    continue
-                if len(best) < k:
-                    heapq.heappush(best, entry)
-                elif entry > best[0]:
-                    heapq.heapreplace(best, entry)
-        return best
+            score = q[ask] @ self.rows[a:b].T
+            hit = score >= worst[ask, None]
+            for r in np.flatnonzero(hit.any(axis=1)).tolist():
+                i = int(ask[r])
+                best, mine = found[i], int(own[i])
+                for j in np.flatnonzero(hit[r]).tolist():
+                    name, row = names[a + j]
+                    entry = (int(score[r, j]), -name, row)
+                    if row == mine:
+                        continue
+                    if len(best) < k:
+                        heapq.heappush(best, entry)
+                    elif entry > best[0]:
+                        heapq.heapreplace(best, entry)
+                if len(best) == k:
+                    worst[i] = best[0][0]
 
 
 class Shard:
@@ -121,14 +128,12 @@ class Shard:
         """Adds to ``found``, a heap of the k best for each query, what this shard has."""
         x = q.astype(np.float64)
         exact = self.largest * max(float(np.abs(x).max(initial=0)), 1.0) * max(1, q.shape[1]) < _EXACT  # then doubles hold every score
-        worst = np.array([h[0][0] if len(h) == k else -math.inf for h in found])
-        for i in np.flatnonzero(self.tree.bounds(x) >= worst).tolist() if exact else range(len(q)):
-            if exact:
-                hits = self.tree.search(x[i], self.names, int(own[i]), k, worst[i])
-            else:
-                score = (self.v.astype(object) @ q[i].astype(object)).tolist()
-                hits = heapq.nlargest(k, ((s, -a, r) for s, a, r in zip(score, self.ids.tolist(), self.row.tolist()) if r != own[i]))
-            for entry in hits:
+        if exact:
+            self.tree.search(x, own, self.names, found, k)
+            return
+        for i in range(len(q)):
+            score = (self.v.astype(object) @ q[i].astype(object)).tolist()
+            for entry in heapq.nlargest(k, ((s, -a, r) for s, a, r in zip(score, self.ids.tolist(), self.row.tolist()) if r != own[i])):
                 if len(found[i]) < k:
                     heapq.heappush(found[i], entry)
                 elif entry > found[i][0]:
