@@ -43,8 +43,8 @@ def _byte_letters() -> dict[int, str]:
 class _Pieces(dict):
     """Ids of pieces of text, worked out once; the least recent half is dropped in turn."""
 
-    #: Pieces remembered, some 20 MB; twice as many before the older half goes.
-    HALF = 100_000
+    #: Pieces remembered, some 50 MB; twice as many before the older half goes.
+    HALF = 250_000
 
     def __init__(self, model, dtype):
         super().__init__()
