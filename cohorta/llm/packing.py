@@ -21,6 +21,9 @@ are powers of two.
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -36,6 +39,8 @@ WINDOW, END_ID = 4096, 2
 SHARD_TOKENS = 3_000_000
 #: A term in more than one of so many documents of a shard is held as a dense row of weights.
 COMMON = 8
+#: Neighbours put in order at once; few windows need more.
+FIRST = 64
 K1, B = 1.2, 0.75
 
 
@@ -72,6 +77,10 @@ class Index:
 
     def near(self, seed: int, used: np.ndarray) -> np.ndarray:
         """The unused documents that share a term with the seed, best first; every term of the seed counts."""
+        return np.concatenate(list(self.runs(seed, used)))
+
+    def runs(self, seed: int, used: np.ndarray) -> Iterator[np.ndarray]:
+        """What ``near`` gives: the best ``FIRST`` and their ties, then, only when asked for, all others."""
         term = self.term[self.at[seed] : self.at[seed + 1]]
         term = term[self.df[term] > 1]
         rare = term[self.row[term] < 0]
@@ -80,7 +89,10 @@ class Index:
         score = score + self.dense[self.row[term[self.row[term] >= 0]]].sum(axis=0)
         score[used] = 0
         found = np.flatnonzero(score)
-        return found[np.argsort(-score[found], kind="stable")]
+        rank = -score[found]
+        best = rank <= np.partition(rank, FIRST - 1)[FIRST - 1] if len(found) > FIRST else np.ones(len(found), bool)
+        yield found[best][np.argsort(rank[best], kind="stable")]
+        yield found[~best][np.argsort(rank[~best], kind="stable")]
 
 
 def pack_shard(ids: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
@@ -118,7 +130,7 @@ def pack_shard(ids: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, i
             continue
         if sequence > opened:
             continue
-        for other in index.near(seed, used).tolist():
+        for other in itertools.chain.from_iterable(map(np.ndarray.tolist, index.runs(seed, used))):
             used[other] = True
             at = place(other, 0)
             if at < length[other]:
@@ -143,9 +155,16 @@ def pack_shard(ids: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, i
 
 def content_key(ids: np.ndarray) -> int:
     """The two most frequent ids, the most frequent first (ties: the smaller id); -1 stands for none."""
-    term, n = np.unique(ids, return_counts=True)
-    top = [*term[np.lexsort((term, -n))[:2]].tolist(), -1, -1]
-    return (top[0] + 1 << 32) + top[1] + 1
+    if not len(ids):
+        return 0
+    x = np.sort(ids, kind="stable")
+    cut = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+    n = np.diff(cut, append=len(x))
+    first = n.argmax()
+    key = int(x[cut[first]]) + 1 << 32
+    n[first] = 0
+    second = n.argmax()
+    return key + int(x[cut[second]]) + 1 if n[second] else key
 
 
 def _tokenised(docs: DataFrame, spec) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 
 import numpy as np
 
@@ -48,21 +49,25 @@ class _Pieces(dict):
 
     def __init__(self, model, dtype):
         super().__init__()
-        self.model, self.dtype, self.letters, self.old = model, dtype, _byte_letters(), {}
+        self.model, self.letters, self.old = model, _byte_letters(), {}
+        self.form = "<%d" + dtype.char
 
     def word(self, w: str) -> bytes:
+        """The ids of a run of letters, a digit or a run of signs."""
         ids = self.get(w) or self.old.get(w)
         if ids is None:
             plain = w if w.isascii() else w.translate(self.letters)
-            ids = np.array([t.id for t in self.model.tokenize(plain)], self.dtype).tobytes()
+            tokens = [t.id for t in self.model.tokenize(plain)]
+            ids = struct.pack(self.form % len(tokens), *tokens)
         self[w] = ids
         return ids
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.old.get(chunk)
         if ids is None:
-            parts = _PIECES(chunk)
-            ids = self.word(chunk) if parts == [chunk] else b"".join(map(self.word, parts))
+            if chunk.isalpha():
+                return self.word(chunk)
+            ids = b"".join(map(self.word, _PIECES(chunk)))
         self[chunk] = ids
         return ids
 
