@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohorta.plans import clocks, context, dataset, evaluation, features, groups, joins, models, scalars, states, windows
+from cohorta.plans import clocks, context, dataset, evaluation, features, groups, joins, models, scalars, states, trials, windows
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (windows, joins, features, groups, clocks, evaluation, scalars, context, states, models, dataset):
+for _part in (windows, joins, features, groups, clocks, evaluation, scalars, context, states, models, dataset, trials):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL
 
