@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohorta.llm import conversations, oracles, topk
+from cohorta.llm import collocations, conversations, oracles, topk
 from cohorta.llm.decontaminate import op1_decontaminate
 from cohorta.llm.language import op10_language_id
 from cohorta.llm.near_dedup import op4_near_dedup
@@ -24,6 +24,7 @@ QUERIES = {
     "op8_top_k": topk.op8_top_k,
     "op9_training_order": op9_training_order,
     "op10_language_id": op10_language_id,
+    "op11_collocations": collocations.op11_collocations,
     "op13_conversation_repair": conversations.op13_conversation_repair,
 }
 
@@ -32,5 +33,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_substring_dedup": oracles.SUBSTRINGS,
     "op4_near_dedup": oracles.NEAR_DUPLICATES,
     "op8_top_k": topk.ORACLE_SQL,
+    "op11_collocations": collocations.ORACLE_SQL,
     "op13_conversation_repair": conversations.ORACLE_SQL,
 }
