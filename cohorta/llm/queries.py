@@ -7,6 +7,7 @@ from cohorta.llm.decontaminate import op1_decontaminate
 from cohorta.llm.language import op10_language_id
 from cohorta.llm.near_dedup import op4_near_dedup
 from cohorta.llm.packing import op5_packing
+from cohorta.llm.quality import op12_quality_rules
 from cohorta.llm.secrets import op6_secrets
 from cohorta.llm.shards import op9_training_order
 from cohorta.llm.substring_dedup import op3_substring_dedup
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_training_order": op9_training_order,
     "op10_language_id": op10_language_id,
     "op11_collocations": collocations.op11_collocations,
+    "op12_quality_rules": op12_quality_rules,
     "op13_conversation_repair": conversations.op13_conversation_repair,
 }
 
