@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohorta.operators.group import correlation
+
 #: Ranges that values are dealt to; each is a task's share of a key that holds all rows.
 RANGES = 256
 
@@ -94,14 +96,14 @@ def correlations(df: DataFrame, features: list[str], least: int = 5) -> DataFram
     at_once = [(a, b) for a, b in pairs if a in whole and b in whole]
     out = None
     if at_once:
-        figures = table.agg(F.count("*").alias("n"), *[F.corr(a, b).alias(f"p{i}") for i, (a, b) in enumerate(at_once)], *[F.corr(f"_r_{a}", f"_r_{b}").alias(f"s{i}") for i, (a, b) in enumerate(at_once)])
+        figures = table.agg(F.count("*").alias("n"), *[correlation(F.col(a), F.col(b)).alias(f"p{i}") for i, (a, b) in enumerate(at_once)], *[correlation(F.col(f"_r_{a}"), F.col(f"_r_{b}")).alias(f"s{i}") for i, (a, b) in enumerate(at_once)])
         rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col("n"), F.col(f"p{i}").alias("pearson"), F.col(f"s{i}").alias("spearman")) for i, (a, b) in enumerate(at_once)])
         out = figures.select(F.explode(rows).alias("r")).select("r.*")
     for a, b in pairs:
         if (a, b) not in at_once:
             both = cast.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("x"), F.col(b).alias("y"))
             r = ranked(ranked(both, [], "x", "_rx", points[a]), [], "y", "_ry", points[b])
-            one = r.agg(F.count("*").alias("n"), F.corr("x", "y").alias("pearson"), F.corr("_rx", "_ry").alias("spearman")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "n", "pearson", "spearman")
+            one = r.agg(F.count("*").alias("n"), correlation(F.col("x"), F.col("y")).alias("pearson"), correlation(F.col("_rx"), F.col("_ry")).alias("spearman")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "n", "pearson", "spearman")
             out = one if out is None else out.unionAll(one)
     return out.where(F.col("n") >= least)
 
