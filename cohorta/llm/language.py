@@ -54,9 +54,12 @@ def _symbols() -> np.ndarray:
 
 
 class Profiles:
-    """Bundles of n-gram vectors; vectors of n-grams seen are kept, up to a bound."""
+    """Bundles of n-gram vectors; vectors of n-grams and letters seen are kept, up to a bound.
 
-    MOST = 16_384
+    N-grams are taken ``SLICE`` at a time, so texts of many different ones take no more memory.
+    """
+
+    MOST, SLICE, LETTERS = 16_384, 8_192, 32_768
 
     def __init__(self, dim: int = DIM, ngram: int = NGRAM, seed: int = SEED):
         if not 1 <= ngram <= 63 // _BITS:
@@ -70,6 +73,8 @@ class Profiles:
     def letter(self, code: int) -> np.ndarray:
         """The random vector of a letter (0: the blank), the same in every worker."""
         if code not in self.letters:
+            if len(self.letters) >= self.LETTERS:
+                self.letters.clear()
             self.letters[code] = np.random.default_rng([self.seed, code]).integers(0, 2, self.dim, np.int8) * 2 - 1
         return self.letters[code]
 
@@ -108,12 +113,18 @@ class Profiles:
         grams = [self.grams(t) for t in texts]
         for low in range(0, len(texts), 128):
             part = grams[low : low + 128]
-            flat = np.concatenate([k for k, _ in part])
-            seen, place = np.unique(flat, return_inverse=True)
-            count = np.zeros((len(part), len(seen)), np.float32)
-            count[np.repeat(np.arange(len(part)), [len(k) for k, _ in part]), place] = np.concatenate([n for _, n in part])
-            at = self.rows(seen)
-            out[low : low + 128] = count @ self.vectors[at].astype(np.float32)
+            flat, times = np.concatenate([k for k, _ in part]), np.concatenate([n for _, n in part])
+            text = np.repeat(np.arange(len(part), dtype=np.int32), [len(k) for k, _ in part])
+            order = np.argsort(flat, kind="stable")
+            flat, times, text = flat[order], times[order], text[order]
+            place = np.cumsum(np.concatenate(([0], flat[1:] != flat[:-1])))
+            edge = np.searchsorted(place, np.arange(0, place[-1] + 1 + self.SLICE, self.SLICE))
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                at, first = place[a:b] - place[a], np.flatnonzero(np.concatenate(([True], flat[a + 1 : b] != flat[a : b - 1])))
+                count = np.zeros((len(part), int(at[-1]) + 1), np.float32)
+                count[text[a:b], at] = times[a:b]
+                where = self.rows(flat[a:b][first])
+                out[low : low + 128] += count @ self.vectors[where].astype(np.float32)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
