@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohorta.llm.common import LOWER, bounded_batches, concat_ranges, discard, lean, mix, staged, text_bytes
+from cohorta.llm.common import LOWER, bounded_batches, concat_ranges, discard, kept, lean, mix, staged, text_bytes
 
 NGRAM = 13
 #: Most bytes of benchmark text in one broadcast.
@@ -41,57 +43,74 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Windows:
-    """The windows of some test items, with exact lookup in arrays of word numbers."""
+    """The windows of some test items, with exact lookup: all words as one array of numbers, windows as places in it."""
 
     def __init__(self, items: list[tuple[object, str]], ngram: int):
         self.vocabulary: dict[bytes, int] = {}
-        rows: dict[int, dict[tuple[int, ...], set[str]]] = {}
-        for item_id, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)]
-            if not ids:
-                continue
-            n = min(ngram, len(ids))
-            at = rows.setdefault(n, {})
-            for i in range(len(ids) - n + 1):
-                at.setdefault(tuple(ids[i : i + n]), set()).update(() if item_id is None else (str(item_id),))
-        self.by_length = []
-        for n, found in sorted(rows.items()):
-            table = np.array(list(found), np.int64).reshape(len(found), n)
-            key = self.keys(table)
-            order = np.argsort(key, kind="stable")
-            names = [sorted(x) for x in found.values()]
-            self.by_length.append((n, table[order], key[order], [names[i] for i in order.tolist()]))
-
-    @staticmethod
-    def keys(table: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(table), np.uint64)
-        for j in range(table.shape[1]):
-            out = mix(out + table[:, j].astype(np.uint64) + np.uint64(j + 1))
+        self.names = [None if item_id is None else str(item_id) for item_id, _ in items]
+        words, sizes = array("i"), []
+        for _, text in items:
+            own = words_of(text)
+            words.extend(self.vocabulary.setdefault(w, len(self.vocabulary)) for w in own)
+            sizes.append(len(own))
+        self.words = np.array(words, np.int32)
+        size = np.array(sizes, np.int64)
+        first, length = np.cumsum(size) - size, np.minimum(size, ngram)
+        self.by_length = [self._sorted(n, np.flatnonzero(length == n), first, size) for n in np.unique(length[length > 0]).tolist()]
+
+    def keys(self, place: np.ndarray, n: int, words: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(place), np.uint64)
+        for low in range(0, len(place), 1 << 18):
+            part = out[low : low + (1 << 18)]
+            for j in range(n):
+                part = mix(part + words[place[low : low + (1 << 18)] + j].astype(np.uint64) + np.uint64(j + 1))
+            out[low : low + (1 << 18)] = part
         return out
 
-    def find(self, ids: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, list]]:
-        """Of each window length: the places in ``ids`` (-1: no word of a test) and the windows there."""
+    def _same(self, words: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+        """Whether ``n`` words from ``a`` in ``words`` are those from ``b`` in the items."""
+        out = np.ones(len(a), bool)
+        for j in range(n):
+            out &= words[a + j] == self.words[b + j]
+        return out
+
+    def _sorted(self, n: int, items: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple:
+        """n, keys in order, of each key a window's place, where its items begin, the items, and the words that begin a window."""
+        count = size[items] - n + 1
+        place, item = concat_ranges(first[items], count), np.repeat(items, count).astype(np.int32)
+        key = self.keys(place, n, self.words)
+        order = np.lexsort((item, key))
+        key, place, item = key[order], place[order], item[order]
+        again = np.zeros(len(key), bool)
+        again[1:] = (key[1:] == key[:-1]) & self._same(self.words, place[1:], place[:-1], n)
+        new = np.ones(len(key), bool)
+        new[1:] = ~(again[1:] & (item[1:] == item[:-1]))  # a window that an item repeats counts once
+        key, place, item, again = key[new], place[new], item[new], again[new]
+        head = np.flatnonzero(~again)
+        begins = np.zeros(len(self.vocabulary), bool)
+        begins[self.words[place[head]]] = True
+        return n, key[head], place[head], np.append(head, len(item)), item, begins
+
+    def find(self, ids: np.ndarray):
+        """Of each window length: n, the places in ``ids`` (-1: no word of a test), the windows there, and what lists their items."""
         known = ids >= 0
-        out = []
         if not known.any():
-            return out
+            return
         place = np.arange(len(ids))
         stop = np.where(known, len(ids), place)
         run = np.minimum.accumulate(stop[::-1])[::-1] - place
-        for n, table, key, names in self.by_length:
+        for n, key, window, begin, item, begins in self.by_length:
             at = np.flatnonzero(run >= n)
-            if not len(at):
-                continue
-            first = np.isin(ids[at], np.unique(table[:, 0])) if n > 1 else np.ones(len(at), bool)
-            at = at[first]
-            here = ids[at[:, None] + np.arange(n)] if len(at) else np.zeros((0, n), np.int64)
-            k = self.keys(here)
+            at = at[begins[ids[at]]]
+            k = self.keys(at, n, ids)
             low, high = np.searchsorted(key, k, "left"), np.searchsorted(key, k, "right")
-            who = np.repeat(np.arange(len(at)), high - low)
-            cand = concat_ranges(low, high - low)
-            same = (table[cand] == here[who]).all(axis=1)  # the hit is verified word by word
-            out.append((n, at[who[same]], cand[same], names))
-        return out
+            at, found = np.repeat(at, high - low), concat_ranges(low, high - low)
+            same = self._same(ids, at, window[found], n)  # the hit is verified word by word
+            yield n, at[same], found[same], (begin, item)
+
+    def listed(self, window: int, lists: tuple) -> list[str]:
+        begin, item = lists
+        return [self.names[i] for i in item[begin[window] : begin[window + 1]].tolist() if self.names[i] is not None]
 
 
 def _scan(windows: Windows, raw: bytes, start: np.ndarray, end: np.ndarray):
@@ -108,11 +127,12 @@ def _scan(windows: Windows, raw: bytes, start: np.ndarray, end: np.ndarray):
     ids = np.array(flat, np.int64) if flat else np.zeros(0, np.int64)
     delta = np.zeros(len(ids) + 1, np.int64)
     items: dict[int, set[str]] = {}
-    for n, at, cand, names in windows.find(ids):
+    for n, at, found, lists in windows.find(ids):
         np.add.at(delta, at, 1)
         np.add.at(delta, at + n, -1)
-        for r, c in zip((np.searchsorted(first, at, "right") - 1).tolist(), cand.tolist()):
-            items.setdefault(r, set()).update(names[c])
+        row = np.searchsorted(first, at, "right") - 1
+        for r, w in np.unique(np.stack((row, found), axis=1), axis=0).tolist() if len(at) else ():
+            items.setdefault(r, set()).update(windows.listed(w, lists))
     return n_words, first, np.cumsum(delta[:-1]) > 0, items
 
 
@@ -154,8 +174,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, ngram: int = NGRAM,
             sent.unpersist()
         sent = spark.sparkContext.broadcast(block)
 
-        def scan(batches, sent=sent):
-            windows = Windows(sent.value, ngram)
+        def scan(batches, sent=sent, name=uuid.uuid4().hex):
+            windows = kept(("windows", name), lambda: Windows(sent.value, ngram))  # once a worker, whatever its tasks
             for batch in batches:
                 raw, start, end = text_bytes(batch.column("text"))
                 raw = raw.tobytes().translate(_WORD_BYTE)
@@ -173,9 +193,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, ngram: int = NGRAM,
                         counts.append(int(n[r]))
                         spans.append(_runs(mask) if mask.any() else [])
                         items.append(sorted({*found.get(r, ()), *(old_items[i] or ())}))
-                kept = {f.name: batch.column(k) for k, f in enumerate(batch.schema)}
-                kept |= {"n_words": pa.array(counts, pa.int64()), "hit_spans": pa.array(spans, pa.list_(pa.list_(pa.int32()))), "items": pa.array(items, pa.list_(pa.string()))}
-                yield pa.RecordBatch.from_pydict(kept)
+                own = {f.name: batch.column(k) for k, f in enumerate(batch.schema)}
+                own |= {"n_words": pa.array(counts, pa.int64()), "hit_spans": pa.array(spans, pa.list_(pa.list_(pa.int32()))), "items": pa.array(items, pa.list_(pa.string()))}
+                yield pa.RecordBatch.from_pydict(own)
 
         before = out.mapInArrow(lean(scan), schema)
     out = before
