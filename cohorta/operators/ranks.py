@@ -129,8 +129,8 @@ def tertiles(df: DataFrame, keys: list[str], c: str) -> DataFrame:
 def row_numbers(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Adds a row's number, from 1, in the whole table's order by columns of which the first is a number; ties in all go any way."""
     points = split_points(df, order[0])
-    dealt = df.withColumn("_g", F.coalesce(range_of(F.col(order[0]), points), F.lit(-1)))
-    sizes = dealt.groupBy("_g").agg(F.count("*").alias("_s"))
-    sizes = sizes.withColumn("_o", F.sum("_s").over(Window.orderBy("_g")) - F.col("_s")).drop("_s")  # one row a range
-    local = F.row_number().over(Window.partitionBy("_g").orderBy(*order))
-    return dealt.withColumn("_l", local).join(F.broadcast(sizes), "_g").withColumn(name, F.col("_o") + F.col("_l")).drop("_g", "_l", "_o")
+    dealt = df.withColumn("_range", F.coalesce(range_of(F.col(order[0]), points), F.lit(-1)))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_size"))
+    sizes = sizes.withColumn("_above", F.sum("_size").over(Window.orderBy("_range")) - F.col("_size")).drop("_size")  # one row a range
+    local = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn("_local", local).join(F.broadcast(sizes), "_range").withColumn(name, F.col("_above") + F.col("_local")).drop("_range", "_local", "_above")
