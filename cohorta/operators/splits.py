@@ -99,6 +99,49 @@ def refitted(df: DataFrame, fold: str, fit, keys: list[str]) -> DataFrame:
     return fit(others, ["_out", *keys]).withColumnRenamed("_out", fold)
 
 
+def task_roles(df: DataFrame, task: str, order: list, test, rest: str = "train") -> DataFrame:
+    """Rows with role: the test task, the task before it to validate, all earlier ones to train; later ones are left out.
+
+    With nothing before the validating task it trains too, and its rows stand twice. ``rest`` says what rows of the first
+    task do instead of training: "train", "baseline-only" (role baseline) or "exclude". The first task can't be the test.
+    """
+    at = order.index(test)
+    if at == 0 or rest not in ("train", "baseline-only", "exclude"):
+        raise ValueError("the first task cannot be the test task" if at == 0 else "rest is train, baseline-only or exclude")
+    val, train = order[at - 1], order[: at - 1] or [order[at - 1]]
+    first = {"train": "train", "baseline-only": "baseline", "exclude": None}[rest]
+    roles = [F.when(F.col(task) == test, "test"), F.when(F.col(task) == val, "val")]
+    roles += [F.when(F.col(task) == t, F.lit(first if t == order[0] else "train")) for t in train]
+    return df.withColumn("role", F.explode(F.array_compact(F.array(*roles))))
+
+
+def subject_folds(df: DataFrame, subject: str, task: str, c: str, train: list, val, instead, test=None) -> DataFrame:
+    """fold (a subject), role, n and mean of ``c``: the others' training tasks train, their task ``val`` validates, the subject's task ``test`` tests (all of its tasks if None).
+
+    Where the others have no rows of ``val``, their task ``instead`` validates. Subjects without test rows are no fold. What the others
+    have is the totals less the subject's own, so no row is copied.
+    """
+    part = lambda ok, name: [F.count_if(ok).alias(f"_n_{name}"), F.count(F.when(ok, F.col(c))).alias(f"_m_{name}"), F.coalesce(F.sum(F.when(ok, F.col(c))), F.lit(0.0)).alias(f"_s_{name}")]
+    is_test = F.lit(True) if test is None else F.coalesce(F.col(task) == test, F.lit(False))
+    parts = {"train": F.col(task).isin(train), "val": F.col(task) == val, "instead": F.col(task) == instead, "test": is_test}
+    own = df.groupBy(F.col(subject).alias("fold")).agg(*[x for name, ok in parts.items() for x in part(F.coalesce(ok, F.lit(False)), name)])
+    sums = own.agg(*[F.sum(f"_{k}_{name}").alias(f"_a{k}_{name}") for name in ("train", "val", "instead") for k in "nms"])  # one row
+    both = own.where("_n_test > 0").crossJoin(F.broadcast(sums))
+    rest = lambda name: [F.col(f"_a{k}_{name}") - F.col(f"_{k}_{name}") for k in "nms"]
+    known = rest("val")[0] > 0
+    figures = {"train": rest("train"), "val": [F.when(known, a).otherwise(b) for a, b in zip(rest("val"), rest("instead"))], "test": [F.col(f"_{k}_test") for k in "nms"]}
+    rows = F.array(*[F.struct(F.lit(role).alias("role"), n.alias("n"), F.try_divide(s, m).alias("mean")) for role, (n, m, s) in figures.items()])
+    return both.select("fold", F.explode(rows).alias("r")).select("fold", "r.*")
+
+
+def task_summary(df: DataFrame, keys: list[str], participant: str, features: list[str]) -> DataFrame:
+    """keys, feature, participants (distinct ones of all rows), rows, n, mean and median of a feature's values."""
+    whole = df.groupBy(*keys).agg(F.countDistinct(participant).alias("participants"), F.count("*").alias("rows"))
+    long = df.unpivot([*keys], [F.col(f).cast("double").alias(f) for f in features], "feature", "_v")
+    each = long.groupBy(*keys, "feature").agg(F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.percentile("_v", F.lit(0.5)).alias("median"))
+    return each.join(whole, keys).select(*keys, "feature", "participants", "rows", "n", "mean", "median")
+
+
 # --- several covariates -----------------------------------------------------------------------------
 
 

@@ -71,3 +71,30 @@ SELECT o_orderkey, round(y - my - b * (a - ma), 4) AS residual FROM v JOIN f USI
 def price_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("k"), "o_orderkey", F.col("o_totalprice").alias("y"), F.col("o_custkey").cast("double").alias("a"))
     return splits.residuals(o, ["k"], "y", ["a"]).select("o_orderkey", F.round("residual", 4).alias("residual"))
+
+
+@query(_with() + """ SELECT event_id, CASE task WHEN 3 THEN 'test' WHEN 2 THEN 'val' WHEN 1 THEN 'train' ELSE 'baseline' END AS role, 3 AS test FROM samples WHERE task <= 3
+UNION ALL SELECT event_id, CASE task WHEN 1 THEN 'test' ELSE 'val' END, 1 FROM samples WHERE task <= 1 UNION ALL SELECT event_id, 'train', 1 FROM samples WHERE task = 0""")
+def task_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test task 3 with the first task as baseline, and test task 1, whose validating task trains too."""
+    s = samples(spark, sf_dir).select("event_id", "task")
+    parts = [splits.task_roles(s, "task", [0, 1, 2, 3, 4], t, rest).select("event_id", "role", F.lit(t).alias("test")) for t, rest in ((3, "baseline-only"), (1, "train"))]
+    return parts[0].unionByName(parts[1])
+
+
+@query(_with("f AS (SELECT DISTINCT participant AS fold FROM samples WHERE task = 3)",
+  "r AS (SELECT fold, CASE WHEN participant = fold THEN CASE WHEN task = 3 THEN 'test' END WHEN task <= 1 THEN 'train' WHEN task = 2 THEN 'val' END AS role, x FROM f, samples)")
+  + " SELECT fold, role, count(*) AS n, round(avg(x), 8) AS mean FROM r WHERE role IS NOT NULL GROUP BY ALL")
+def subject_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user held out: tested on task 3, the others train on tasks 0 and 1 and validate on task 2."""
+    f = splits.subject_folds(samples(spark, sf_dir), "participant", "task", "x", [0, 1], 2, 1, 3)
+    return f.where("n > 0").select("fold", "role", "n", F.round("mean", 8).alias("mean"))
+
+
+@query(_with("w AS (SELECT session, task, count(DISTINCT participant) AS participants, count(*) AS rows FROM samples GROUP BY ALL)",
+  "l AS (SELECT session, task, 'x' AS feature, CASE WHEN valid THEN x END AS v FROM samples UNION ALL SELECT session, task, 'y', CAST(event_id % 50 AS DOUBLE) FROM samples)")
+  + " SELECT l.session, l.task, feature, any_value(participants) AS participants, any_value(w.rows) AS \"rows\", count(v) AS n, round(avg(v), 8) AS mean, round(quantile_cont(v, 0.5), 8) AS median FROM l JOIN w ON w.session = l.session AND w.task = l.task GROUP BY l.session, l.task, feature")
+def task_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = samples(spark, sf_dir).select("session", "task", "participant", F.when(F.col("valid"), F.col("x")).alias("x"), (F.col("event_id") % 50).alias("y"))
+    t = splits.task_summary(s, ["session", "task"], "participant", ["x", "y"])
+    return t.select("session", "task", "feature", "participants", "rows", "n", F.round("mean", 8).alias("mean"), F.round("median", 8).alias("median"))

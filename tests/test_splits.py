@@ -93,3 +93,33 @@ def test_residuals_are_those_of_least_squares(spark, covariates):
         assert np.allclose([left[i] for i in part["i"]], rest["x"], atol=1e-6)
     flat = spark.createDataFrame([(1, float(i), 5.0, float(i % 3)) for i in range(20)], "k int, x double, y double, a double")
     assert [r["r"] for r in splits.partial_correlations(flat, ["k"], "x", "y", ["a"]).collect()] == [None]
+
+
+def test_task_roles(spark):
+    df = spark.createDataFrame([(t, i) for t in (0, 1, 2, 3, 4, None) for i in range(2)], "task int, i int")
+    roles = lambda *how: Counter((r["task"], r["role"]) for r in splits.task_roles(df, "task", [0, 1, 2, 3, 4], *how).collect())
+    assert roles(3) == {(0, "train"): 2, (1, "train"): 2, (2, "val"): 2, (3, "test"): 2}
+    assert roles(3, "exclude") == {(1, "train"): 2, (2, "val"): 2, (3, "test"): 2}
+    assert roles(3, "baseline-only") == {(0, "baseline"): 2, (1, "train"): 2, (2, "val"): 2, (3, "test"): 2}
+    assert roles(1) == {(0, "train"): 2, (0, "val"): 2, (1, "test"): 2}
+    for bad in ((0,), (2, "other")):
+        with pytest.raises(ValueError):
+            roles(*bad)
+
+
+def test_subject_folds_against_copies(spark):
+    rng = random.Random(5)
+    rows = [(s, t, rng.choice([None, 1.0, 2.0, 5.0])) for s in "abc" for t in (0, 1, 2, 3) for _ in range(rng.randint(0, 3)) if (s, t) != ("a", 3)] + [("d", 3, 1.0), ("d", 2, 3.0)]
+    df = spark.createDataFrame(rows, "s string, t int, x double")
+    for test in (3, None):
+        got = {(r["fold"], r["role"]): (r["n"], r["mean"]) for r in splits.subject_folds(df, "s", "t", "x", [0, 1], 2, 1, test).collect()}
+        want = {}
+        for s in "abcd":
+            own = [r for r in rows if r[0] == s and test in (None, r[1])]
+            rest = [r for r in rows if r[0] != s]
+            if own:
+                val = [r for r in rest if r[1] == 2] or [r for r in rest if r[1] == 1]
+                for role, part in (("train", [r for r in rest if r[1] < 2]), ("val", val), ("test", own)):
+                    x = [r[2] for r in part if r[2] is not None]
+                    want[s, role] = (len(part), pytest.approx(sum(x) / len(x)) if x else None)
+        assert got == want
