@@ -64,6 +64,28 @@ def window_dataset(reports: DataFrame, samples: DataFrame, speech: DataFrame, tr
     return out.withColumn("speech", F.coalesce("_said", F.lit(0))).drop("_said")
 
 
+def window_pool(windows: DataFrame, modalities: dict[str, tuple[DataFrame, str]], keys: list[str], window: str, start: str, end: str, at: str, length: int, least: int = 10) -> DataFrame:
+    """The windows (keys, window, start, end) in which every modality has ``least`` samples or more, with features of each.
+
+    modalities: name to (samples with keys and ``at``, value column). Of each the columns name_n, _mean, _sd, _min, _max, _slope (a unit of
+    ``at``) and _sequence (values in order resampled to ``length`` points). A sample belongs to each window with start <= at < end;
+    null values do not count. Buckets of the join are as long as the windows are on the average.
+    """
+    wide = windows.agg(F.greatest(F.avg(F.col(end) - F.col(start)), F.lit(1)).alias("w")).first()["w"] or 1
+    w = windows.select(*keys, window, F.col(start).alias("_a"), F.col(end).alias("_z"))
+    out = windows
+    for name, (samples, value) in modalities.items():
+        own = samples.where(F.col(value).isNotNull()).select(*keys, F.col(at).alias("_t"), F.col(value).cast("double").alias("_v"))
+        hit = range_join(own, w, keys, "_t", "_a", "_z", wide)
+        line = F.transform(F.array_sort(F.collect_list(F.struct("_t", "_v"))), lambda r: r["_v"])
+        f = hit.groupBy(*keys, window).agg(
+            F.count("*").alias(f"{name}_n"), F.avg("_v").alias(f"{name}_mean"), F.stddev_samp("_v").alias(f"{name}_sd"), F.min("_v").alias(f"{name}_min"), F.max("_v").alias(f"{name}_max"),
+            F.regr_slope("_v", (F.col("_t") - F.col("_a")).cast("double")).alias(f"{name}_slope"), line.alias("_line"),
+        ).where(F.col(f"{name}_n") >= least).withColumn(f"{name}_sequence", resampled(F.col("_line"), length)).drop("_line")
+        out = out.join(f, [*keys, window])
+    return out
+
+
 def fold_scores(df: DataFrame, fold: str, features: list[str], label: str, pool: DataFrame | None = None, weight: str = "weight", penalty: float = 0.01, least: int = 3, most: int = 100) -> DataFrame:
     """fold, n and macro_f1 of a multinomial logistic classifier trained on all other folds.
 

@@ -64,3 +64,21 @@ def fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well the level of a user's task is told from its spread and peak, each task left out once."""
     f = _features(spark, sf_dir).withColumn("label", F.when(F.col("eda") < 20, 0).when(F.col("eda") < 30, 1).otherwise(2))
     return ds.fold_scores(f, "task", ["pupil_sd", "rate", "rmssd"], "label")
+
+
+def _pool_sql(kind: str) -> str:
+    return f"""{kind}_f AS (SELECT participant, w.win, count(*) AS n, avg(x) AS mean, stddev_samp(x) AS sd, min(x) AS low, max(x) AS high, regr_slope(x, us - a) AS slope FROM w JOIN (SELECT participant AS p, us, x FROM samples WHERE event_type = '{kind}') s ON s.p = w.participant AND us >= a AND us < z GROUP BY participant, w.win HAVING count(*) >= 3)"""
+
+
+@query(_with(f"b AS (SELECT participant, min(us) AS first, max(us) AS last FROM samples GROUP BY ALL)", f"w AS (SELECT participant, CAST(i AS BIGINT) AS win, first + i * {10 * DAY_US} AS a, first + i * {10 * DAY_US} + {20 * DAY_US} AS z FROM b, unnest(range(0, (last - first) // {10 * DAY_US} + 1)) u(i))", _pool_sql("view"), _pool_sql("click"))
+  + f""" SELECT participant, win, a, v.n AS view_n, round(v.mean, 7) AS view_mean, round(v.sd, 7) AS view_sd, round(v.slope * {DAY_US}, 5) AS view_slope, c.n AS click_n, round(c.low, 7) AS click_min, round(c.high, 7) AS click_max FROM w JOIN view_f v USING (participant, win) JOIN click_f c USING (participant, win)""")
+def window_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty-day windows of each user, begun every ten days, with three views and three clicks or more."""
+    s = samples(spark, sf_dir)
+    step = F.lit(10 * DAY_US)
+    ends = s.groupBy("participant").agg(F.min("us").alias("first"), F.max("us").alias("last"))
+    w = ends.select("participant", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("last") - F.col("first")) / step))).alias("win"))
+    w = w.select("participant", "win", (F.col("first") + F.col("win") * step).alias("a")).withColumn("z", F.col("a") + 2 * step)
+    kinds = {k: (s.where(F.col("event_type") == k), "x") for k in ("view", "click")}
+    p = ds.window_pool(w, kinds, ["participant"], "win", "a", "z", "us", 5, 3)
+    return p.select("participant", "win", "a", "view_n", F.round("view_mean", 7).alias("view_mean"), F.round("view_sd", 7).alias("view_sd"), F.round(F.col("view_slope") * DAY_US, 5).alias("view_slope"), "click_n", F.round("click_min", 7).alias("click_min"), F.round("click_max", 7).alias("click_max"))

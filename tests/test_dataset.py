@@ -51,3 +51,17 @@ def test_fold_scores(spark):
     assert ds.fold_scores(df.where("f = 9"), "f", ["a", "b"], "y").count() == 0
     with pytest.raises(ValueError):
         ds.fold_scores(df, "f", ["a"], "y", most=2)
+
+
+def test_window_pool(spark):
+    from cohorta.operators import dataset
+
+    windows = spark.createDataFrame([("a", 0, 0, 10), ("a", 1, 5, 15), ("b", 0, 0, 10)], "k string, w int, s long, e long")
+    one = spark.createDataFrame([("a", t, float(t)) for t in (0, 4, 6, 9, 10)] + [("a", 7, None), ("b", 1, 1.0)], "k string, at long, v double")
+    two = spark.createDataFrame([("a", 5, 2.0), ("a", 6, 4.0), ("a", 14, 9.0), ("b", 5, 1.0)], "k string, at long, v double")
+    got = {(r["k"], r["w"]): r for r in dataset.window_pool(windows, {"x": (one, "v"), "y": (two, "v")}, ["k"], "w", "s", "e", "at", 3, least=2).collect()}
+    assert set(got) == {("a", 0), ("a", 1)}
+    r = got["a", 0]
+    assert (r["x_n"], r["x_mean"], r["x_min"], r["x_max"], r["y_n"]) == (4, 4.75, 0.0, 9.0, 2) and abs(r["x_slope"] - 1) < 1e-9 and r["y_sequence"] == [2.0, 3.0, 4.0]
+    assert got["a", 1]["x_n"] == 3 and got["a", 1]["y_n"] == 3
+    assert dataset.window_pool(windows.limit(0), {"x": (one, "v")}, ["k"], "w", "s", "e", "at", 3).count() == 0
