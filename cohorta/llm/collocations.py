@@ -40,6 +40,8 @@ HEAD, HEAD_BYTES = 100_000, 64
 TILE, TILES, DENSE = 1024, 16, 1 << 14
 #: Ids of a row of ``sequences``, and of a slice that is counted at once.
 ROW, SLICE = 4096, 1 << 20
+#: Rows of sparse tiles that a task holds before it sends them on.
+HELD = 1 << 21
 #: A bit set of frequent ids has 16 bits an id, up to so many bits.
 MOST_BITS = 1 << 26
 #: Languages whose totals are broadcast; more are joined by shuffle.
@@ -135,6 +137,8 @@ class _Ids(dict):
 class Bits:
     """A bit set of hashes: whether one is in it, or perhaps is. Its size is bounded; beyond that it only spares less."""
 
+    PROBES = 4
+
     def __init__(self, ids: DataFrame, columns: list[str], n: int):
         size = 1 << 16
         while size < min(16 * n, MOST_BITS):
@@ -143,8 +147,10 @@ class Bits:
         def fill(batches):
             bits = np.zeros(size // 8, np.uint8)
             for batch in batches:
-                h = tuple_hash([np.asarray(batch.column(k)) for k in range(len(columns))]) & np.uint64(size - 1)
-                np.bitwise_or.at(bits, (h >> np.uint64(3)).astype(np.int64), (1 << (h & np.uint64(7))).astype(np.uint8))
+                h = tuple_hash([np.asarray(batch.column(k)) for k in range(len(columns))])
+                for j in range(Bits.PROBES):
+                    at = Bits._place(h, j, size)
+                    np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
             words = bits.view(np.int64)
             at = np.flatnonzero(words)
             yield pa.RecordBatch.from_pydict({"at": at.astype(np.int32), "word": words[at]})
@@ -154,9 +160,18 @@ class Bits:
         table[np.asarray(found.column("at"))] = np.asarray(found.column("word"))
         self.bits = table.view(np.uint8)
 
+    @staticmethod
+    def _place(h: np.ndarray, probe: int, size: int) -> np.ndarray:
+        return (mix(h + np.uint64(probe)) & np.uint64(size - 1)).astype(np.int64)
+
     def maybe(self, h: np.ndarray) -> np.ndarray:
-        h = h & np.uint64(8 * len(self.bits) - 1)
-        return (self.bits[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        out = np.zeros(len(h), bool)
+        left = np.arange(len(h))
+        for j in range(self.PROBES):  # each probe looks at what the last one has left
+            at = self._place(h[left], j, 8 * len(self.bits))
+            left = left[(self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
+        out[left] = True
+        return out
 
 
 def tuple_hash(columns: list[np.ndarray]) -> np.ndarray:
@@ -204,7 +219,7 @@ class Tiles:
 
     def __init__(self, m: int, left: tuple | None, parts: Bits | None):
         """left: hashes in order, ids by column, and ranks of frequent phrases of m - 1 words (m > 2)."""
-        self.m, self.left, self.parts, self.dense = m, left, parts, {}
+        self.m, self.left, self.parts, self.dense, self.sparse = m, left, parts, {}, []
 
     def ranks(self, x: list[np.ndarray]) -> np.ndarray:
         """The rank of each left side within its language, or -1."""
@@ -217,20 +232,24 @@ class Tiles:
         same = np.logical_and.reduce([table[j][at] == x[j] for j in range(self.m - 1)])
         return np.where(same, rank[at], -1)
 
-    def add(self, ids: np.ndarray, may_begin: np.ndarray):
-        """Counts one slice; gives rows (ids by column, counts) of its sparse tiles."""
+    def phrases(self, ids: np.ndarray, may_begin: np.ndarray) -> list[np.ndarray]:
+        """The ids, by column, of a slice's phrases of m words whose parts may be frequent."""
         m = self.m
-        n = len(ids) - m + 1
-        if n <= 0:
-            return
+        n = max(len(ids) - m + 1, 0)
         ok = may_begin[:n].copy()
         for j in range(m):
             ok &= ids[j : j + n] != 0
-        if self.parts is not None:
-            frequent = self.parts.maybe(tuple_hash([ids[j : len(ids) - m + 2 + j] for j in range(m - 1)]))
+        if self.parts is not None and n:
+            frequent = self.parts.maybe(tuple_hash([ids[j : n + 1 + j] for j in range(m - 1)]))
             ok &= frequent[:n] & frequent[1 : n + 1]
         at = np.flatnonzero(ok)
-        x = [ids[at + j] for j in range(m)]
+        return [ids[at + j] for j in range(m)]
+
+    def add(self, ids: np.ndarray, may_begin: np.ndarray):
+        """Counts one slice; gives rows (ids by column, counts) of sparse tiles when more than HELD are held."""
+        x = self.phrases(ids, may_begin)
+        if not len(x[0]):
+            return
         rank, last = self.ranks(x), x[-1]
         dense = (rank >= 0) & (last > 0)
         low = np.int64(TILE - 1)
@@ -245,18 +264,34 @@ class Tiles:
                 tile[here] = -2
         rest = tile != -2
         if rest.any():
-            yield self._sorted([c[rest] for c in x])
-
-    def _sorted(self, x: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+            self.sparse.append(self._sorted([c[rest] for c in x], np.ones(int(rest.sum()), np.int64)))
+            if sum(len(c) for _, c in self.sparse) > HELD:
+                whole = self._whole()
+                if len(whole[1]) > HELD // 2:
+                    yield whole
+                else:
+                    self.sparse = [whole]
+
+    def _whole(self) -> tuple[list[np.ndarray], np.ndarray]:
+        """What the slices since the last time have in their sparse tiles, added up."""
+        columns, counts = zip(*self.sparse)
+        self.sparse = []
+        return self._sorted([np.concatenate(c) for c in zip(*columns)], np.concatenate(counts))
+
+    @staticmethod
+    def _sorted(x: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Rows in order, equal ones added up."""
         order = np.lexsort(x[::-1])
         x = [c[order] for c in x]
         new = np.ones(len(order), bool)
         new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in x])
         at = np.flatnonzero(new)
-        return [c[at] for c in x], np.diff(np.append(at, len(order)))
+        return [c[at] for c in x], np.add.reduceat(n[order], at)
 
     def close(self):
-        """The rows of the dense tiles."""
+        """The rows of the dense tiles, and of the sparse ones that are still held."""
+        if self.sparse:
+            yield self._whole()
         for t, count in self.dense.items():
             at = np.flatnonzero(count)
             code, row, col = t >> 40, (t >> 20 & (1 << 20) - 1) * TILE + at // TILE, (t & (1 << 20) - 1) * TILE + at % TILE
@@ -270,32 +305,38 @@ class Tiles:
             yield [*first, code << 32 | col], count[at]
 
 
+def _slices(batches):
+    """The rows of ``sequences`` in slices of about SLICE ids: ids, and where phrases may begin."""
+    held, size = [], 0
+    for batch in batches:
+        column, own = batch.column(0), np.asarray(batch.column(1))
+        at = np.asarray(column.offsets).astype(np.int64)
+        flat = np.asarray(column.values)
+        for k in range(len(own)):
+            held.append((flat[at[k] : at[k + 1]], int(own[k])))
+            size += len(held[-1][0]) + 1
+            if size >= SLICE:
+                yield _joined(held)
+                held, size = [], 0
+    if held:
+        yield _joined(held)
+
+
 def phrase_counts(rows: DataFrame, m: int, left: tuple | None, parts: Bits | None) -> DataFrame:
     """w1 .. wm and f, how often each phrase of m ids occurs, of phrases whose parts may be frequent."""
     names = [f"w{j + 1}" for j in range(m)]
     sent = rows.sparkSession.sparkContext.broadcast((left, parts))
 
     def count(batches):
-        tiles, held, size = Tiles(m, *sent.value), [], 0
+        tiles = Tiles(m, *sent.value)
 
         def out(found):
             for x, c in found:
                 for low in range(0, len(c), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(v[low : low + 100_000].astype(np.int64)) for v in (*x, c)], names=[*names, "c"])
 
-        for batch in batches:
-            column, own = batch.column(0), np.asarray(batch.column(1))
-            at = np.asarray(column.offsets).astype(np.int64)
-            flat = np.asarray(column.values)
-            for k in range(len(own)):
-                ids = flat[at[k] : at[k + 1]]
-                held.append((ids, int(own[k])))
-                size += len(ids) + 1
-                if size >= SLICE:
-                    yield from out(tiles.add(*_joined(held)))
-                    held, size = [], 0
-        if held:
-            yield from out(tiles.add(*_joined(held)))
+        for part in _slices(batches):
+            yield from out(tiles.add(*part))
         yield from out(tiles.close())
 
     counted = rows.mapInArrow(lean(count), ", ".join(f"{c} long" for c in [*names, "c"]))

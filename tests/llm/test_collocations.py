@@ -35,7 +35,7 @@ def test_against_sql(spark):
     assert not extra and not missing, (list(extra)[:3], list(missing)[:3])
 
 
-@pytest.mark.parametrize("how", [{}, {"HEAD": 4}, {"HEAD": 0}, {"HEAD_BYTES": 1, "ROW": 5, "SLICE": 64}, {"TILE": 2, "TILES": 3, "DENSE": 1, "MOST_BITS": 1 << 16, "SLICE": 200}])
+@pytest.mark.parametrize("how", [{}, {"HEAD": 4}, {"HEAD": 0}, {"HEAD_BYTES": 1, "ROW": 5, "SLICE": 64}, {"TILE": 2, "TILES": 3, "DENSE": 1, "MOST_BITS": 1 << 16, "SLICE": 200, "HELD": 50}])
 def test_against_brute_force(spark, monkeypatch, how):
     """Whatever lies in the head, in dense tiles or in neither: the counts are the same."""
     for k, v in how.items():
