@@ -64,7 +64,7 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     labels = F.split(host, r"\.")
     domain = lambda i: F.concat(F.lit("domain "), F.array_join(F.slice(labels, i, F.size(labels)), "."))
     pieces = F.filter(F.split(path, "/"), lambda s: s != "")
-    asked = F.regexp_extract(url, r"\?([^#]*)", 1)
+    asked = F.regexp_extract(url, r"^[^#?]*\?([^#]*)", 1)  # what follows a # is no query
     keys = F.filter(F.split(asked, "&"), lambda s: s != "")
     return F.array_distinct(F.concat(
         F.when(host == "", F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("host "), host), F.concat(F.lit("top "), F.element_at(labels, -1)))),
