@@ -58,6 +58,17 @@ def _value(text: str, kind: int, start: int, end: int) -> str:
     return ASSIGN.match(text, start).group(2) if kind == 0 else text[start:end]
 
 
+def _values(text: str) -> list[str]:
+    """The secrets that the patterns find; one that lies within another, or overlaps it, is no second one."""
+    out, last = [], 0
+    found = [(b - len(_value(text, k, a, b)), b) for a, k, b in base_spans(text)]
+    for start, end in sorted(found, key=lambda s: (s[0], -s[1])):
+        if end > last:
+            out.append(text[max(start, last) : end])
+            last = end
+    return out
+
+
 def _pairs(raw: bytes) -> np.ndarray:
     """How often each pair of symbols stands in the tokens, their first and last character paired with the end of a token."""
     s = _SYMBOL[np.frombuffer(b" " + raw + b" ", np.uint8)]
@@ -76,7 +87,7 @@ def train(docs: DataFrame) -> np.ndarray | None:
                 raw, start, end = text_bytes(part.column(0))
                 raw = raw.tobytes()
                 whole += _pairs(b" ".join([raw[a:b] for a, b in zip(start.tolist(), end.tolist())]))
-                values = [_value(t, k, a, b) for t in part.column(0).to_pylist() if t for a, k, b in base_spans(t)]
+                values = [v for t in part.column(0).to_pylist() if t for v in _values(t)]
                 if values:
                     random += _pairs(" ".join(values).encode())
         at = np.flatnonzero(whole + random)

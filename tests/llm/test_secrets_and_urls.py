@@ -100,3 +100,19 @@ def test_decontaminate_long_repeated_and_clashing(spark):
     items = spark.createDataFrame([(7, item), (7, item), (8, None)], "item_id long, text string")
     got = sorted([(r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in decontaminate.decontaminate(df, items).collect()], key=str)
     assert got == sorted([(1, 200_000, 40, ["7"], False)] * 2 + [(2, 40, 40, ["7"], True), (None, 40, 40, ["7"], True), (3, 0, 0, [], False)], key=str)
+
+
+def test_a_key_of_the_fragment_is_no_key(spark):
+    urls = ["http://a.b.com/x#f?y=1", "http://a.b.com/x?y=1#f?z=2", "http://a.b.com/x?y=1&w=2", "http://a.b.com/x"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    host, path = url_filter.host_and_path(F.col("url"))
+    got = {r[0]: {t for t in r[1] if t.startswith("key ")} for r in df.select("page_id", url_filter.tokens(F.col("url"), host, path)).collect()}
+    assert got == {0: set(), 1: {"key y"}, 2: {"key y", "key w"}, 3: set()}
+
+
+def test_a_value_found_twice_counts_once():
+    digest = hashlib.md5(b"x").hexdigest()
+    access = "AKIA" + "7" * 26
+    assert secrets._values(f"token={digest} and {digest}") == [digest, digest]
+    assert secrets._values(f"token={access}.") == [f"{access}."] and secrets._values(access) == [access]
+    assert secrets._values(f"{digest}token=abcdef") == [digest, "abcdef"] and secrets._values("no words") == []
