@@ -168,7 +168,7 @@ def _passages(docs: DataFrame, lexicon: DataFrame, tally: bool = False) -> DataF
     docs = docs.drop(*[c for c in docs.columns if c.lower() in {"n_words", "passages", "word_scores", "bins"}])
     blocks = max(1, math.ceil(lexicon.count() / BLOCK_TOKENS))
     passage = pa.list_(pa.struct([("score", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))
-    out = docs.withColumn("word_scores", F.lit(None).cast("array<float>"))
+    out = docs.withColumn("word_scores", F.lit(None).cast("array<double>"))
     schema = out.schema
     final = docs.withColumn("n_words", F.lit(None).cast("long")).withColumn("passages", F.lit(None).cast(_PASSAGES))
     final = (final.withColumn("bins", F.lit(None).cast("map<int,long>")) if tally else final).schema
@@ -200,7 +200,7 @@ def _passages(docs: DataFrame, lexicon: DataFrame, tally: bool = False) -> DataF
                     more = {"bins": pa.array(bins, pa.map_(pa.int32(), pa.int64()))} if tally else {}
                     yield pa.RecordBatch.from_pydict(kept | {"n_words": pa.array(n, pa.int64()), "passages": pa.array(rows, passage)} | more)
                 else:
-                    yield pa.RecordBatch.from_pydict(kept | {"word_scores": pa.array(rows, pa.list_(pa.float32()))})
+                    yield pa.RecordBatch.from_pydict(kept | {"word_scores": pa.array(rows, pa.list_(pa.float64()))})
 
         before, out = out, out.mapInArrow(lean(run), final if last else schema)
         if not last:  # one pass, with one block, is alive at a time
