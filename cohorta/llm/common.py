@@ -51,14 +51,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(*written: DataFrame) -> None:
-    """Deletes the folders of staged frames that no frame still to be run reads.
+def forget(spark: SparkSession) -> None:
+    """Asks the driver's JVM to collect its garbage.
 
-    Shuffle files of the jobs that wrote them go when the driver's JVM has collected what refers
-    to them, which it is asked to do here, so that they don't pile up beside the next steps'.
+    Shuffle files go when it has collected what refers to them, so without this those of jobs that
+    have ended pile up beside the next steps'. The last query's stay referred to until another has ended.
     """
+    spark.range(1).collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(*written: DataFrame) -> None:
+    """Deletes the folders of staged frames that no frame still to be run reads, and shuffle files of the jobs that wrote them."""
     if written:
-        written[0].sparkSession.sparkContext._jvm.System.gc()
+        forget(written[0].sparkSession)
     for df in written:
         path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_at)
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
