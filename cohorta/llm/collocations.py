@@ -42,6 +42,8 @@ TILE, TILES, DENSE = 1024, 16, 1 << 14
 ROW, SLICE = 4096, 1 << 20
 #: Rows of sparse tiles that a task holds before it sends them on.
 HELD = 1 << 21
+#: Bits of the number of cells that phrases of 3 words or more are first counted in, and of the number of ranges of cells.
+CELL_BITS, CELL_RANGES = 24, 6
 #: A bit set of frequent ids has 16 bits an id, up to so many bits.
 MOST_BITS = 1 << 26
 #: Languages whose totals are broadcast; more are joined by shuffle.
@@ -217,9 +219,9 @@ def sequences(docs: DataFrame, head: Head, tail: Bits | None, seed: int) -> Data
 class Tiles:
     """Counts of phrases of m words: dense tiles for the pairs of ranks that are met often, sorted coordinates for the rest."""
 
-    def __init__(self, m: int, left: tuple | None, parts: Bits | None):
-        """left: hashes in order, ids by column, and ranks of frequent phrases of m - 1 words (m > 2)."""
-        self.m, self.left, self.parts, self.dense, self.sparse = m, left, parts, {}, []
+    def __init__(self, m: int, left: tuple | None, parts: Bits | None, cells: np.ndarray | None = None):
+        """left: hashes in order, ids by column, and ranks of frequent phrases of m - 1 words (m > 2); cells: of ``frequent_cells``."""
+        self.m, self.left, self.parts, self.cells, self.dense, self.sparse = m, left, parts, cells, {}, []
 
     def ranks(self, x: list[np.ndarray]) -> np.ndarray:
         """The rank of each left side within its language, or -1."""
@@ -243,7 +245,12 @@ class Tiles:
             frequent = self.parts.maybe(tuple_hash([ids[j : n + 1 + j] for j in range(m - 1)]))
             ok &= frequent[:n] & frequent[1 : n + 1]
         at = np.flatnonzero(ok)
-        return [ids[at + j] for j in range(m)]
+        x = [ids[at + j] for j in range(m)]
+        if self.cells is not None:
+            cell = _cell(x, 8 * len(self.cells))
+            may = (self.cells[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
+            x = [c[may] for c in x]
+        return x
 
     def add(self, ids: np.ndarray, may_begin: np.ndarray):
         """Counts one slice; gives rows (ids by column, counts) of sparse tiles when more than HELD are held."""
@@ -322,10 +329,74 @@ def _slices(batches):
         yield _joined(held)
 
 
-def phrase_counts(rows: DataFrame, m: int, left: tuple | None, parts: Bits | None) -> DataFrame:
-    """w1 .. wm and f, how often each phrase of m ids occurs, of phrases whose parts may be frequent."""
+def _cell(x: list[np.ndarray], cells: int) -> np.ndarray:
+    """The cell of each phrase, given by its ids by column; ``cells`` is a power of two."""
+    return (tuple_hash(x) & np.uint64(cells - 1)).astype(np.int64)
+
+
+def frequent_cells(rows: DataFrame, m: int, parts: Bits, least: int) -> np.ndarray:
+    """A bit set of the cells that phrases of m ids whose parts may be frequent fall into ``least`` times or more.
+
+    A phrase of any other cell is rare, so it need not be counted by itself. Each task's counts, cut
+    off at ``least``, go to ranges of cells in packed form; cells are of a fixed number, so a corpus
+    that outgrows them is only spared less.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(parts)
+    ranges, width, kind = 1 << CELL_RANGES, 1 << CELL_BITS - CELL_RANGES, np.min_scalar_type(least)
+
+    def summed(held):
+        cell, place = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+        return cell, np.bincount(place, np.concatenate([n for _, n in held]), len(cell)).astype(np.int64)
+
+    def collect(batches):
+        tiles, held = Tiles(m, None, sent.value), []
+
+        def out():
+            cell, n = summed(held)
+            edge = np.searchsorted(cell, np.arange(0, width * (ranges + 1), width))
+            cell, n = (cell % width).astype(np.uint32), np.minimum(n, least).astype(kind)
+            some = np.flatnonzero(edge[1:] > edge[:-1])
+            cut = [(a, b) for a, b in zip(edge[some].tolist(), edge[some + 1].tolist())]
+            yield pa.RecordBatch.from_pydict({"part": pa.array(some, pa.int32()), "cells": pa.array([cell[a:b].tobytes() for a, b in cut], pa.binary()), "counts": pa.array([n[a:b].tobytes() for a, b in cut], pa.binary())})
+
+        for part in _slices(batches):
+            cell, n = np.unique(_cell(tiles.phrases(*part), ranges * width), return_counts=True)
+            if len(cell):
+                held.append((cell, n))
+            if sum(len(c) for c, _ in held) > HELD:
+                held = [summed(held)]
+                if len(held[0][0]) > HELD // 2:
+                    yield from out()
+                    held = []
+        if held:
+            yield from out()
+
+    def flags(batches):
+        def out(part, count):
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "flags": pa.array([np.packbits(count >= least, bitorder="little").tobytes()], pa.binary())})
+
+        now, count = None, None
+        for batch in batches:
+            for part, cells, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                if part != now:
+                    if now is not None:
+                        yield out(now, count)
+                    now, count = part, np.zeros(width, np.int64)
+                count[np.frombuffer(cells.as_buffer(), np.uint32)] += np.frombuffer(counts.as_buffer(), kind)
+        if now is not None:
+            yield out(now, count)
+
+    packed = rows.mapInArrow(lean(collect), "part int, cells binary, counts binary").repartition("part").sortWithinPartitions("part")
+    table = np.zeros((ranges, width // 8), np.uint8)
+    for r in packed.mapInArrow(lean(flags), "part int, flags binary").toLocalIterator():  # a bit a cell in all
+        table[r["part"]] = np.frombuffer(r["flags"], np.uint8)
+    return table.reshape(-1)
+
+
+def phrase_counts(rows: DataFrame, m: int, left: tuple | None, parts: Bits | None, cells: np.ndarray | None = None) -> DataFrame:
+    """w1 .. wm and f, how often each phrase of m ids occurs, of phrases whose parts and cells may be frequent."""
     names = [f"w{j + 1}" for j in range(m)]
-    sent = rows.sparkSession.sparkContext.broadcast((left, parts))
+    sent = rows.sparkSession.sparkContext.broadcast((left, parts, cells))
 
     def count(batches):
         tiles = Tiles(m, *sent.value)
@@ -393,7 +464,8 @@ def frequent_phrases(docs: DataFrame, *, least: int = LEAST, longest: int = LONG
     rows = staged(sequences(docs, head, tail, seed), "sequences")
     found, left, parts = [], None, None
     for m in range(2, longest + 1):
-        counts = staged(phrase_counts(rows, m, left, parts).where(F.col("f") >= least), f"phrases{m}")
+        cells = frequent_cells(rows, m, parts, least) if parts is not None else None
+        counts = staged(phrase_counts(rows, m, left, parts, cells).where(F.col("f") >= least), f"phrases{m}")
         size = counts.count()
         if not size:
             discard(counts)

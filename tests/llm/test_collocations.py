@@ -86,3 +86,29 @@ def test_tiles_count_all_pairs():
             got[k[:2]] = got.get(k[:2], 0) + k[2]
     want = col.Counter((a, b) for a, b in zip(ids.tolist(), ids[1:].tolist()) if a and b)
     assert got == dict(want)
+
+
+def test_rare_phrases_of_frequent_parts_are_not_counted_by_themselves(spark, monkeypatch):
+    """Both parts of most phrases of three words are frequent here, the phrases are not: few of them become rows."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(24)]
+    rows = [(" ".join(rng.choice(words) for _ in range(60)) + ". one two three", "en") for _ in range(300)]
+    made, plain = {}, col.phrase_counts
+
+    def phrase_counts(rows, m, *a):
+        out = plain(rows, m, *a)
+        made[m] = out.count()
+        return out
+
+    monkeypatch.setattr(col, "phrase_counts", phrase_counts)
+    words, found = col.frequent_phrases(spark.createDataFrame(rows, "text string, lang string"), least=20)
+    assert made[3] == 1 == found[1].count() and made[2] > 500  # some 9,900 phrases of three words occur
+
+
+@pytest.mark.parametrize("how", [{"CELL_BITS": 8, "CELL_RANGES": 2}, {"CELL_BITS": 12, "CELL_RANGES": 0, "HELD": 30, "SLICE": 64}])
+def test_crowded_cells_change_no_counts(spark, monkeypatch, how):
+    for k, v in how.items():
+        monkeypatch.setattr(col, k, v)
+    rows = made(9, 250)
+    for least in (3, 300):
+        assert mined(spark, rows, least=least, top=60) == col.brute_force(rows, least=least, top=60)
