@@ -74,7 +74,7 @@ def break_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def task_anchored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half-day steps of one-day windows from each task's start, of five samples or more."""
     s = samples(spark, sf_dir).withColumn("us", F.col("us"))
-    w = win.task_anchored_windows(s, _tasks(s), ["session", "task"], "us", DAY_US, DAY_US // 2, 5, bucket=5 * DAY_US)
+    w = win.task_anchored_windows(s, _tasks(s), ["session", "task"], "us", DAY_US, DAY_US // 2, 5, bucket=5 * DAY_US, short=True)
     return w.select("session", F.col("task"), "window", "n", "first_us", "last_us", F.col("centre_us").alias("centre"))
 
 
