@@ -8,29 +8,31 @@ from pyspark.sql import functions as F
 from cohorta.operators.group import correlation
 
 
-def linear_fit(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+def linear_fit(df: DataFrame, keys: list[str], x: str, y: str, flat: float = 1.0) -> DataFrame:
     """scale, offset and mean absolute residual of y on x; without spread scale 1, offset mean(y) - mean(x).
 
+    Two rows and more without spread (all x equal) have the scale ``flat``.
     x is centred on its mean first: clocks are large numbers with small differences.
     """
     m = df.groupBy(*keys).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"), F.count("*").alias("n"))
     c = df.join(m, keys).withColumn("_x", F.col(x) - F.col("_mx")).withColumn("_y", F.col(y) - F.col("_my"))
-    s = c.groupBy(*keys, "n", "_mx", "_my").agg(F.sum(F.col("_x") * F.col("_y")).alias("_xy"), F.sum(F.col("_x") ** 2).alias("_xx"))
-    fit = s.withColumn("scale", F.when(F.col("_xx") > 0, F.col("_xy") / F.col("_xx")).otherwise(1.0))
+    s = c.groupBy(*keys, "n", "_mx", "_my").agg(F.sum(F.col("_x") * F.col("_y")).alias("_xy"), F.sum(F.col("_x") ** 2).alias("_xx"), (F.max(x) > F.min(x)).alias("_wide"))
+    fit = s.withColumn("scale", F.when(F.col("_wide") & (F.col("_xx") > 0), F.col("_xy") / F.col("_xx")).when(F.col("n") > 1, F.lit(flat)).otherwise(1.0))
     r = c.join(fit.select(*keys, "scale"), keys).groupBy(*keys).agg(F.avg(F.abs(F.col("_y") - F.col("scale") * F.col("_x"))).alias("residual"))
     return fit.withColumn("offset", F.col("_my") - F.col("scale") * F.col("_mx")).select(*keys, "n", "scale", "offset").join(r, keys)
 
 
-def piecewise_fit(df: DataFrame, keys: list[str], x: str, y: str, points: int, most_residual: float) -> DataFrame:
+def piecewise_fit(df: DataFrame, keys: list[str], x: str, y: str, points: int, most_residual: float, least: int | None = None, flat: float = 1.0) -> DataFrame:
     """One line, or, where its residual is above the bound and there are points for two, one per ``points`` rows.
 
+    ``least`` is the number of rows from which a key is cut, if not those of two lines; ``flat`` is as in ``linear_fit``.
     Gives segment, start, scale, offset, residual and drift_ppm of the key's first segment.
     """
-    whole = linear_fit(df, keys, x, y)
-    poor = whole.where((F.col("residual") > most_residual) & (F.col("n") >= 2 * points)).select(*keys)
+    whole = linear_fit(df, keys, x, y, flat)
+    poor = whole.where((F.col("residual") > most_residual) & (F.col("n") >= (2 * points if least is None else least))).select(*keys)
     seg = df.withColumn("segment", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(x)) - 1) / points))
     cut = seg.join(poor, keys, "left_semi")
-    parts = linear_fit(cut, [*keys, "segment"], x, y).join(cut.groupBy(*keys, "segment").agg(F.min(x).alias("start")), [*keys, "segment"])
+    parts = linear_fit(cut, [*keys, "segment"], x, y, flat).join(cut.groupBy(*keys, "segment").agg(F.min(x).alias("start")), [*keys, "segment"])
     one = whole.join(poor, keys, "left_anti").withColumn("segment", F.lit(0).cast("long")).join(df.groupBy(*keys).agg(F.min(x).alias("start")), keys)
     out = parts.unionByName(one.select(*parts.columns))
     return out.withColumn("drift_ppm", (F.first("scale").over(Window.partitionBy(*keys).orderBy("segment")) - 1) * 1e6)

@@ -49,3 +49,13 @@ def test_plateaus_are_no_peaks(spark, tmp_path):
     heights = [10, 60, 60, 10, 90, 10, 80, 80, 80, 10, 70, 30, 30, 75, 5]
     events = [(k / 20, 0, "view", float(h)) for k, h in enumerate(heights)]
     assert same(spark, "peak_prominences", tables(tmp_path / "t", events)) == 3
+
+
+def test_segments_of_few_and_of_equal_samples(spark, tmp_path):
+    """25 and 39 samples are two segments each; of samples at one time with one value there is no slope."""
+    events = [(d / 40 * 30, u, "view", float(d * 7 % 11)) for u, n in ((0, 25), (1, 39), (2, 40), (3, 1), (5, 20)) for d in range(n)]
+    events += [(3.3, 6, "view", 0.1)] * 17 + [(k // 9, 7, "view", 0.7) for k in range(36)]
+    events.sort()
+    sf = tables(tmp_path / "t", events)
+    assert same(spark, "piecewise_clock_fit", sf) == 2 + 2 + 2 + 1 + 1 + 1 + 2
+    assert spark.read.parquet(f"{sf}/events.parquet").where("user_id = 6").count() == 17
