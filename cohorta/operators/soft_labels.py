@@ -25,6 +25,7 @@ REACH = 40.0
 OWN, OTHER, STRONG, WEAK, DIRECTION = 0.8, 1.2, 0.8, 1.4, 1.8
 STRONG_FROM, MOST_WEIGHT, OTHERS_SHARE = 0.2, 0.95, 0.6
 LEAST_AGREEMENT, MOST_AGREEMENT = 0.05, 0.95
+NO_SPREAD = 1e-9
 
 
 @dataclass(frozen=True)
@@ -50,7 +51,8 @@ def agreement(reports: DataFrame, keys: list[str], seat: str, at: str, dims: lis
     """keys, seat, other, dim, rho: how far two seats' reports of one key go together, the same in both directions.
 
     Each report of the smaller seat meets the other seat's first report less than ``width`` away. Of ``least`` such pairs their
-    correlation counts, up to 0.95; if it is not above 0 or not defined, as with a missing value in any pair, 0.05. With fewer
+    correlation counts, up to 0.95; if it is not above 0 or not defined, as with a missing value in any pair or no spread of one side
+    (``NO_SPREAD``; partial sums of equal values leave one in the last digits), 0.05. With fewer
     pairs ``prior`` (of the columns of keys and ``dim``) does. Reports are one a seat and time.
     """
     seats = reports.select(*keys, seat).distinct()
@@ -58,7 +60,8 @@ def agreement(reports: DataFrame, keys: list[str], seat: str, at: str, dims: lis
     near = band_join(reports, reports, keys, at, width, seat).where((F.col(seat) < F.col(f"r_{seat}")) & (F.abs(F.col(at) - F.col(f"r_{at}")) < width))
     first = near.groupBy(*keys, seat, at, F.col(f"r_{seat}").alias("other")).agg(F.min_by(F.struct(*dims, *[f"r_{d}" for d in dims]), F.col(f"r_{at}")).alias("p"))
     each = first.select(*keys, seat, "other", F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(f"p.{d}").cast("double").alias("x"), F.col(f"p.r_{d}").cast("double").alias("y")) for d in dims])).alias("e"))
-    found = each.groupBy(*keys, seat, "other", "e.dim").agg(F.count("*").alias("_n"), F.count(F.col("e.x") + F.col("e.y")).alias("_m"), correlation(F.col("e.x"), F.col("e.y")).alias("_c"))
+    spread = (F.stddev_pop("e.x") > NO_SPREAD) & (F.stddev_pop("e.y") > NO_SPREAD)
+    found = each.groupBy(*keys, seat, "other", "e.dim").agg(F.count("*").alias("_n"), F.count(F.col("e.x") + F.col("e.y")).alias("_m"), F.when(spread, correlation(F.col("e.x"), F.col("e.y"))).alias("_c"))
     every = pairs.withColumn("dim", F.explode(F.array(*[F.lit(d) for d in dims]))).join(found, [*keys, seat, "other", "dim"], "left")
     measured = F.when((F.col("_m") == F.col("_n")) & F.coalesce(F.col("_c") > 0, F.lit(False)), F.least("_c", F.lit(MOST_AGREEMENT))).otherwise(LEAST_AGREEMENT)
     rho = F.when(F.coalesce("_n", F.lit(0)) >= least, measured).otherwise(prior)

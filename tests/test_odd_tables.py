@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from cohorta.operators import soft_labels as soft
 from cohorta.plans import registry
 from tests.oracle import TABLES, differences
 
@@ -59,3 +60,16 @@ def test_segments_of_few_and_of_equal_samples(spark, tmp_path):
     sf = tables(tmp_path / "t", events)
     assert same(spark, "piecewise_clock_fit", sf) == 2 + 2 + 2 + 1 + 1 + 1 + 2
     assert spark.read.parquet(f"{sf}/events.parquet").where("user_id = 6").count() == 17
+
+
+def test_equal_reports_do_not_agree(spark):
+    """Partial sums of equal values, as of many tasks, leave no spread that a correlation could rest on."""
+    rows = [(s, 0, float(d % 7), 1.0 + d * 5 % 7, None) for s in range(60) for d in range(6)] + [(s, 1, 3.0, 1.0 + s * 0.37 % 7, None) for s in range(60)]
+    df = spark.createDataFrame(rows, "session long, seat int, t double, v double, w double").withColumn("task", soft.F.lit("T0")).repartition(4)
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = soft.agreement(df, ["session", "task"], "seat", "t", ["v"], 8.0, soft.F.lit(0.3)).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+    assert len(got) == 120 and {r["rho"] for r in got} == {0.05}
