@@ -40,3 +40,17 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", "us", (F.col("us") / 1e6).alias("t"), F.col("user_id").alias("participant"), F.floor(F.col("user_id") / 4).alias("session"),
         (F.col("user_id") % 4).cast("int").alias("seat"), "event_type", (F.col("event_type") != "error").alias("valid"), F.col("value").alias("x"), "props", "task",
     )
+
+
+def day_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """session, seat, frame (the day), n and total of the values of each user and day, added up one by one in the order of events.
+
+    A sum of doubles depends on the order of its terms in the last digits, and a frame at a threshold on those; so
+    neither the files nor the tasks that a day is dealt to may choose it.
+    """
+    by = ["participant", "frame"]
+    s = samples(spark, sf_dir).withColumn("frame", F.floor(F.col("us") / DAY_US)).select("session", "seat", *by, "event_id", "x")
+    w = Window.partitionBy(*by).orderBy("event_id", "x")
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    s = s.select("session", "seat", "frame", F.count("x").over(so_far).alias("n"), F.sum("x").over(so_far).alias("total"), F.lead(F.lit(1)).over(w).alias("_next"))
+    return s.where("_next is null").drop("_next")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohorta.operators import features as feat
 from cohorta.operators import signals
-from cohorta.plans.base import DAY_US, SAMPLES_SQL, samples, table
+from cohorta.plans.base import DAY_US, SAMPLES_SQL, day_sums, samples, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -102,7 +102,7 @@ def audio_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_with(f"f AS (SELECT session, seat, us // {DAY_US} AS frame, avg(x) AS rms FROM samples GROUP BY ALL)",
   "o AS (SELECT a.*, coalesce((SELECT max(b.rms) FROM f b WHERE b.session = a.session AND b.frame = a.frame AND b.seat <> a.seat), 0) AS other FROM f a)") + " SELECT session, seat, frame, rms > 20 AND rms >= 1.5 * other AS speaking FROM o")
 def dominant_speaker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = samples(spark, sf_dir).groupBy("session", "seat", F.floor(F.col("us") / DAY_US).alias("frame")).agg(F.avg("x").alias("rms"))
+    f = day_sums(spark, sf_dir).select("session", "seat", "frame", F.try_divide("total", "n").alias("rms"))
     return feat.dominant(f, ["session"], "frame", "seat", "rms", 20, 1.5).select("session", "seat", "frame", "speaking")
 
 

@@ -73,3 +73,19 @@ def test_equal_reports_do_not_agree(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
     assert len(got) == 120 and {r["rho"] for r in got} == {0.05}
+
+
+#: Added up from the left these are above 60 (below it), from the right they are 60.
+ABOVE, BELOW = (28.37, 27.53, 4.1), (18.88, 22.58, 18.54)
+
+
+@pytest.mark.parametrize("name, column", [("dominant_speaker", "speaking")])
+def test_sums_do_not_depend_on_the_files(spark, tmp_path, name, column):
+    events = [(1 + k / 10, u, "view", x, 10 * u + k) for u, values in ((0, ABOVE), (4, BELOW), (5, (30.0,)), (8, ABOVE), (9, (30.0,))) for k, x in enumerate(values)]
+    events.sort()
+    sf, turned = tables(tmp_path / "a", events), tables(tmp_path / "b", events[::-1])
+    assert same(spark, name, sf)
+    rows = lambda path: sorted(tuple(r) for r in registry.QUERIES[name](spark, path).collect())
+    assert rows(sf) == rows(turned)
+    found = [r[column] for r in registry.QUERIES[name](spark, turned).orderBy("session").collect()]
+    assert found[0] is True if column == "speaking" else found == [0.0, 1.0, 0.0]
