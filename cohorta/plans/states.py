@@ -9,7 +9,7 @@ from cohorta.functions import scalars as sc
 from cohorta.operators import evaluate as ev
 from cohorta.operators import states as st
 from cohorta.operators import windows as win
-from cohorta.plans.base import DAY_US, SAMPLES_SQL, samples, table
+from cohorta.plans.base import DAY_US, SAMPLES_SQL, day_sums, samples, table
 
 QUERIES, ORACLE_SQL = {}, {}
 HOUR_US = 3_600_000_000
@@ -107,7 +107,7 @@ FRAMES_SQL = f"frames AS (SELECT session, seat, us // {DAY_US} AS frame, sum(x)
 
 
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = samples(spark, sf_dir).groupBy("session", "seat", F.floor(F.col("us") / DAY_US).alias("frame")).agg(F.sum("x").alias("rms"))
+    f = day_sums(spark, sf_dir).select("session", "seat", "frame", F.col("total").alias("rms"))
     return f.withColumn("speaking", F.col("rms") > 60)
 
 

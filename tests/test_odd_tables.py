@@ -79,7 +79,7 @@ def test_equal_reports_do_not_agree(spark):
 ABOVE, BELOW = (28.37, 27.53, 4.1), (18.88, 22.58, 18.54)
 
 
-@pytest.mark.parametrize("name, column", [("dominant_speaker", "speaking")])
+@pytest.mark.parametrize("name, column", [("dominant_speaker", "speaking"), ("overlap_share", "overlap")])
 def test_sums_do_not_depend_on_the_files(spark, tmp_path, name, column):
     events = [(1 + k / 10, u, "view", x, 10 * u + k) for u, values in ((0, ABOVE), (4, BELOW), (5, (30.0,)), (8, ABOVE), (9, (30.0,))) for k, x in enumerate(values)]
     events.sort()
