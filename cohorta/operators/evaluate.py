@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -202,8 +204,71 @@ def trait_trust(df: DataFrame, session: str, seat: str, traits: str) -> DataFram
     return df.select(session, seat).join(pair, [session, seat], "left").select(session, seat, F.least(F.greatest(F.coalesce("_c", F.lit(0.5)), F.lit(0.0)), F.lit(1.0)).alias("trust"))
 
 
+#: Rows of a block of test and of training subjects that meet in one group, and of the slice of it that is worked on at once.
+TEST_BLOCK, TRAIN_BLOCK, SLICE = 2048, 4096, 256
+
+
+def _unit_rows(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By length of the vector: places, vectors and lengths of those without a missing number."""
+    a = column.combine_chunks()
+    sizes = pc.list_value_length(a).fill_null(-1).to_numpy(zero_copy_only=False)
+    flat, out = a.flatten(), {}
+    gaps = np.concatenate(([0], np.cumsum(flat.is_null().to_numpy(zero_copy_only=False))))
+    ends = np.cumsum(np.maximum(sizes, 0))
+    values = flat.fill_null(0.0).to_numpy(zero_copy_only=False)
+    for n in np.unique(sizes[sizes >= 0]).tolist():
+        at = np.flatnonzero(sizes == n)
+        at = at[gaps[ends[at]] == gaps[ends[at] - n]]
+        rows = values[(ends[at] - n)[:, None] + np.arange(n)] if len(at) else np.zeros((0, n))
+        out[n] = (at, rows, np.sqrt((rows * rows).sum(axis=1)))
+    return out
+
+
 def weighted_transfer(test: DataFrame, train: DataFrame, stimulus: str, subject: str, traits: str, label: str, floor: float = 0.05) -> DataFrame:
-    """Per test subject and stimulus: the mean training label, by trait similarity (at least ``floor``)."""
-    t = train.groupBy(stimulus, subject).agg(F.avg(label).alias("_y"), F.first(traits).alias("_t")).select(stimulus, F.col(subject).alias("_s"), "_y", "_t")
-    w = F.greatest(cosine(F.col(traits), F.col("_t")), F.lit(floor))
-    return test.join(t, stimulus).where(F.col(subject) != F.col("_s")).withColumn("_w", w).groupBy(subject, stimulus).agg((F.sum(F.col("_w") * F.col("_y")) / F.sum("_w")).alias("label"))
+    """Per test subject and stimulus: the mean training label, by trait similarity (at least ``floor``).
+
+    All pairs of a stimulus count. Subjects are dealt to blocks by their hash; each block of test subjects meets each block of
+    training subjects in a group of its own, as one product of two matrices, and hands on two sums a test subject.
+    """
+    vector = lambda c: F.transform(c, lambda v: v.cast("double"))
+    t = train.where(F.col(subject).isNotNull()).groupBy(stimulus, subject).agg(F.avg(label).alias("_y"), F.first(traits).alias("_t"))
+    t = t.select(F.col(stimulus).alias("_k"), F.col(subject).alias("_s"), F.col("_y").cast("double").alias("_y"), vector("_t").alias("_t"))
+    q = test.where(F.col(subject).isNotNull()).select(stimulus, subject, vector(traits).alias("_v"))
+    blocks = lambda rows: F.ceil(F.count("*") / rows).cast("int")
+    size = q.groupBy(stimulus).agg(blocks(TEST_BLOCK).alias("_tests")).join(t.groupBy(F.col("_k").alias(stimulus)).agg(blocks(TRAIN_BLOCK).alias("_trains")), stimulus)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = q.join(size, stimulus).withColumn("_a", F.pmod(F.xxhash64(subject, "_v"), "_tests").cast("int")).withColumn("_b", every("_trains"))
+    right = t.join(size.select(F.col(stimulus).alias("_k"), "_tests", "_trains"), "_k").withColumn("_d", F.pmod(F.xxhash64("_s"), "_trains").cast("int")).withColumn("_c", every("_tests"))
+    types = dict(test.dtypes)
+
+    def run(q: pa.Table, t: pa.Table) -> pa.Table:
+        if not q.num_rows or not t.num_rows:
+            return q.select([subject, stimulus]).slice(0, 0).append_column("_wy", pa.array([], pa.float64())).append_column("_w", pa.array([], pa.float64()))
+        place = {s: i for i, s in enumerate(t.column("_s").to_pylist())}
+        own = np.array([place.get(s, -1) for s in q.column(subject).to_pylist()])
+        y = t.column("_y").to_numpy()
+        told = ~np.array(t.column("_y").is_null())
+        y = np.where(told, y, 0.0)
+        a, b = _unit_rows(q.column("_v")), _unit_rows(t.column("_t"))
+        wy, w_sum = np.empty(q.num_rows), np.empty(q.num_rows)
+        for start in range(0, q.num_rows, SLICE):
+            stop = min(start + SLICE, q.num_rows)
+            w = np.full((stop - start, t.num_rows), floor)
+            for n in a.keys() & b.keys():
+                (at, rows, length), (other, vectors, lengths) = a[n], b[n]
+                these = (at >= start) & (at < stop)
+                if these.any() and len(other):
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        both = length[these][:, None] * lengths
+                        w[np.ix_(at[these] - start, other)] = np.maximum(np.where(both <= 0, 0.0, rows[these] @ vectors.T / both), floor)
+            mine = np.flatnonzero(own[start:stop] >= 0)
+            w[mine, own[start:stop][mine]] = 0.0
+            wy[start:stop], w_sum[start:stop] = w @ y, w.sum(axis=1)
+        met = t.num_rows - (own >= 0) > 0
+        rated = told.sum() - np.where(own >= 0, told[own], False) > 0
+        out = pa.table([q.column(subject), q.column(stimulus), pa.array(wy, mask=~rated), pa.array(w_sum)], names=[subject, stimulus, "_wy", "_w"])
+        return out.filter(pa.array(met))
+
+    met = left.select(stimulus, subject, "_v", "_a", "_b").groupBy(stimulus, "_a", "_b").cogroup(right.select("_k", "_s", "_y", "_t", "_c", "_d").groupBy("_k", "_c", "_d"))
+    sums = met.applyInArrow(run, f"{subject} {types[subject]}, {stimulus} {types[stimulus]}, _wy double, _w double")
+    return sums.groupBy(subject, stimulus).agg((F.sum("_wy") / F.sum("_w")).alias("label"))
