@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -9,8 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohorta.operators.signals import hull_area
-
 
 def _entropy(df: DataFrame, keys: list[str], bins: list[str], name: str) -> DataFrame:
     """Shannon entropy (nats) of the rows' bins, null bins left out."""
@@ -58,38 +58,88 @@ def gaze_features(df: DataFrame, keys: list[str], order: list[str], x: str, y: s
 
 
 def hull_areas(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """keys and the area of the convex hull of the points; a batch sends on the corners of its own hull only, so a key may have any size."""
+    """keys and the area of the convex hull of the points; a batch sends on the corners of its own hulls only, so a key may have any size.
+
+    After that a task goes through its keys in order, batch by batch, and holds the corners of one unfinished key.
+    """
     types = dict(df.dtypes)
     k = len(keys)
 
+    def codes(batch: pa.RecordBatch) -> np.ndarray:
+        code = np.zeros(batch.num_rows, np.int64)
+        for c in batch.columns[:k]:
+            own = c.dictionary_encode("encode").indices.to_numpy()
+            code = np.unique(code * (own.max() + 1) + own, return_inverse=True)[1]
+        return code
+
+    def points(batch):
+        return (batch.column(k + i).to_numpy(zero_copy_only=False) for i in range(2))
+
     def corners(batches):
         for batch in batches:
-            part = batch.to_pandas()
-            for _, rows in part.groupby(list(part.columns[:k]), dropna=False, sort=False):
-                yield pa.RecordBatch.from_pandas(rows.iloc[_hull(rows.iloc[:, k].to_numpy(float), rows.iloc[:, k + 1].to_numpy(float))], schema=batch.schema, preserve_index=False)
+            if batch.num_rows:
+                yield batch.take(pa.array(_hulls(codes(batch), *points(batch))[0]))
 
-    def area(key, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([[*key, hull_area(rows, "_x", "_y")["area"]]], columns=[*keys, "area"])
+    def areas(batches):
+        held = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None and not batch.num_rows:
+                continue
+            last = batch is None
+            rows = held if last else batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            if rows is None:
+                return
+            code = codes(rows)
+            kept, area = _hulls(code, *points(rows))
+            done = np.ones(rows.num_rows, bool) if last else code != code[-1]
+            held = None if last else rows.take(pa.array(kept[~done[kept]]))
+            first = np.flatnonzero(done)
+            first = first[np.unique(code[first], return_index=True)[1]]
+            yield pa.RecordBatch.from_arrays([*rows.take(pa.array(first)).columns[:k], pa.array(area[code[first]])], names=[*keys, "area"])
 
     own = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-    return own.mapInArrow(corners, own.schema).groupBy(*keys).applyInPandas(area, ", ".join(f"{c} {types[c]}" for c in keys) + ", area double")
+    dealt = own.mapInArrow(corners, own.schema).repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(areas, ", ".join(f"{c} {types[c]}" for c in keys) + ", area double")
 
 
-def _hull(x: np.ndarray, y: np.ndarray) -> list[int]:
-    """Rows of the corners, by monotone chains; points without both coordinates are none, but one row at least stays."""
-    order = [i for i in np.lexsort((y, x)).tolist() if np.isfinite(x[i]) and np.isfinite(y[i])]
-    if len(order) < 3:
-        return order or [0]
+def _hulls(code: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the corners of all keys, in order, and the area by key, by monotone chains over all keys in one pass.
 
-    def half(points):
-        out: list[int] = []
-        for q in points:
-            while len(out) > 1 and (x[out[-1]] - x[out[-2]]) * (y[q] - y[out[-2]]) <= (y[out[-1]] - y[out[-2]]) * (x[q] - x[out[-2]]):
-                out.pop()
-            out.append(q)
-        return out
-
-    return sorted({*half(order), *half(order[::-1])})
+    Points without both coordinates are none, but one row a key at least stays.
+    """
+    n = int(code.max()) + 1
+    area, good = np.zeros(n), np.isfinite(x) & np.isfinite(y)
+    count = np.bincount(code[good], minlength=n)
+    bare = np.flatnonzero(count[code] == 0)
+    few = np.flatnonzero(good & (count[code] < 3))
+    order = np.flatnonzero(good & (count[code] >= 3))
+    order = order[np.lexsort((y[order], x[order], code[order]))]
+    kept: list[int] = [*bare[np.unique(code[bare], return_index=True)[1]].tolist(), *few.tolist()]
+    cs, xs, ys = code[order].tolist(), x[order].tolist(), y[order].tolist()
+    below: list[int] = []
+    above: list[int] = []
+
+    def close():
+        size = 0.0
+        for chain, sign in ((above, 0.5), (below, -0.5)):
+            for a, b in itertools.pairwise(chain):
+                size += sign * (xs[b] - xs[a]) * (ys[a] - ys[below[0]] + ys[b] - ys[below[0]])
+        area[cs[below[0]]] = size
+        kept.extend(order[list({*below, *above})].tolist())
+
+    for i, (c, a, b) in enumerate(zip(cs, xs, ys)):
+        if below and c != cs[below[0]]:
+            close()
+            below, above = [], []
+        while len(below) > 1 and (xs[below[-1]] - xs[below[-2]]) * (b - ys[below[-2]]) <= (ys[below[-1]] - ys[below[-2]]) * (a - xs[below[-2]]):
+            below.pop()
+        below.append(i)
+        while len(above) > 1 and (xs[above[-1]] - xs[above[-2]]) * (b - ys[above[-2]]) >= (ys[above[-1]] - ys[above[-2]]) * (a - xs[above[-2]]):
+            above.pop()
+        above.append(i)
+    if below:
+        close()
+    return np.sort(np.array(kept, np.int64)), area
 
 
 def fast_share(values: Column) -> Column:

@@ -145,3 +145,17 @@ def test_pupil_by_its_formulas(spark):
     assert r["fast_share"] == pytest.approx(((p - slow) ** 2).mean() / ((slow**2).mean() + 1e-8), rel=1e-6)
     assert got[2]["pupil_mean"] is None and got[2]["blinks_s"] is None
     assert got[3]["pupil_mean"] == pytest.approx(4.0) and got[3]["right_mean"] is None and got[3]["fast_share"] is None and got[3]["blink_ms"] == 0
+
+
+def test_hulls_of_many_keys(spark):
+    """40,000 keys whose rows lie in all batches, keys of one or two points, without any, and a null key."""
+    import time
+
+    df = spark.range(320_000).selectExpr("id * 7919 % 40000 AS k", "sin(id) AS x", "cos(id * 1.7) + sin(id) AS y")
+    odd = spark.createDataFrame([(-1, 1.0, 1.0), (-2, 1.0, 2.0), (-2, 3.0, 4.0), (-3, None, 1.0), (-3, float("nan"), 1.0), (None, 0.0, 0.0), (None, 1.0, 0.0), (None, 0.0, 1.0), (None, 0.2, 0.2), (-4, 5.0, 5.0), (-4, 5.0, 5.0), (-4, 6.0, 6.0), (-4, 7.0, 7.0)], "k long, x double, y double")
+    start = time.time()
+    got = {r["k"]: r["area"] for r in gaze.hull_areas(df.union(odd).repartition(8), ["k"], "x", "y").collect()}
+    assert time.time() - start < 30
+    assert len(got) == 40_005 and [got[k] for k in (-1, -2, -3, -4)] == [0, 0, 0, pytest.approx(0, abs=1e-12)] and got[None] == pytest.approx(0.5)
+    pdf = df.where("k % 1000 = 3").toPandas()
+    assert {k: got[k] for k in set(pdf["k"])} == {k: pytest.approx(signals.hull_area(part, "x", "y")["area"]) for k, part in pdf.groupby("k")}
